@@ -22,6 +22,16 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
 
 
+def pinned(c: Column) -> Column:
+    """``c`` computed where it stands.
+
+    A filter on a computed column is otherwise moved below the projections
+    that make its inputs, taking copies of all their expressions along.  The
+    always-true condition is one the optimizer does not move.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def some(c: Column) -> Column:
     """Null instead of the empty string; ``c`` is computed once."""
     return F.get(F.filter(F.array(c), lambda v: v != ""), 0)

@@ -119,20 +119,24 @@ def choose_title(titles: Column) -> Column:
     return F.coalesce(F.get(corporate, 0), F.get(titles, 0))
 
 
+def _json_at(json: Column, path: Column) -> Column:
+    return F.call_function("get_json_object", json, path)
+
+
 def claims_facts(df: DataFrame, id: str, entity_id: str = "entity_id", claims: str = "claims", extract: str = "extract",
                  title: str = "title") -> DataFrame:
     """Size, turnover, industry and leader from an entity's claims and the summary text."""
     path = F.concat(F.lit("$.entities."), F.col(entity_id), F.lit(".claims."))
 
     def amount(claim: str) -> Column:
-        value = F.get_json_object(F.col(claims), F.concat(path, F.lit(f"{claim}[0].mainsnak.datavalue.value.amount")))
+        value = _json_at(F.col(claims), F.concat(path, F.lit(f"{claim}[0].mainsnak.datavalue.value.amount")))
         return F.regexp_replace(value, r"^\++", "")
 
     staged = df.select(
         id, F.col(title).alias("title"), F.col(extract).alias("summary"),
         F.when(amount("P1128").rlike("^[0-9]+$"), amount("P1128")).try_cast("bigint").alias("staff"),
         amount("P2139").try_cast("double").alias("money"),
-        F.get_json_object(F.col(claims), F.concat(path, F.lit("P452"))).alias("trade"),
+        _json_at(F.col(claims), F.concat(path, F.lit("P452"))).alias("trade"),
     )
     owner = facts.owner_in_summary(F.coalesce("summary", F.lit("")))
     crore = F.bround(F.col("money") / 10000000, 0).cast("bigint").cast("string")

@@ -110,7 +110,7 @@ def listing_rows(pages: DataFrame, rule: Rule, id: str = "page_id") -> DataFrame
             return F.lit("")
         return t.bind(markup.select_one(F.col("own"), selectors), lambda n: markup.text_of(texts, n, glue))
 
-    titled = split.withColumn("title", markup.select_one(F.col("own"), rule.title)).filter(F.col("title").isNotNull())
+    titled = split.withColumn("title", t.pinned(markup.select_one(F.col("own"), rule.title))).filter(F.col("title").isNotNull())
     return titled.select(
         *keep, "pos",
         markup.text_of(texts, F.col("title"), rule.glue).alias("name"),

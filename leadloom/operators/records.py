@@ -57,7 +57,7 @@ def clean_records_basic(df: DataFrame) -> DataFrame:
     })
 
 
-def quality_points(df_has: list[str] | None = None) -> Column:
+def quality_points() -> Column:
     """Quality score of a cleaned record, exact to one tenth."""
     c = F.col
 
@@ -95,7 +95,8 @@ def quality_score(df: DataFrame) -> DataFrame:
 
 
 def quality_filter(df: DataFrame, threshold: str = fixed.MIN_QUALITY) -> DataFrame:
-    return df.filter(quality_points() >= F.lit(threshold).cast("decimal(4,2)"))
+    scored = df.withColumn("_quality", t.pinned(quality_points()))
+    return scored.filter(F.col("_quality") >= F.lit(threshold).cast("decimal(4,2)")).drop("_quality")
 
 
 def rejected_records(raw: DataFrame, threshold: str = fixed.MIN_QUALITY) -> DataFrame:
@@ -109,7 +110,7 @@ def rejected_records(raw: DataFrame, threshold: str = fixed.MIN_QUALITY) -> Data
     reasons = [F.when((F.col(f"_raw_{f}") != "") & (F.col(f) == ""), f"invalid {f}") for f in watched]
     below = F.when(F.col("quality") < F.lit(threshold).cast("decimal(4,2)"), "below threshold")
     return (
-        scored.withColumn("reasons", F.array_compact(F.array(*reasons, below)))
+        scored.withColumn("reasons", t.pinned(F.array_compact(F.array(*reasons, below))))
         .filter(F.size("reasons") > 0)
         .drop(*[f"_raw_{f}" for f in watched])
     )
