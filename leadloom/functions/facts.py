@@ -31,12 +31,15 @@ def believable_band(n: Column) -> Column:
     return F.when(n.between(1, fixed.MAX_EMPLOYEES), band_of(n))
 
 
+_STAFF_WORDS = "(?i)employ|team|workforce|professionals|people|staff|member|associate|colleague"
+
+
 def employee_band(text: Column) -> Column:
-    """Band of the first pattern that gives a believable number."""
+    """Band of the first pattern that gives a believable number; every pattern needs one of the staff words."""
     bands = []
     for pattern in fixed.EMPLOYEE_PATTERNS:
         bands.append(bind(as_count(extract(text, unicode_i(pattern))), believable_band))
-    return F.coalesce(*bands, F.lit(""))
+    return F.when(text.rlike(_STAFF_WORDS), F.coalesce(*bands, F.lit(""))).otherwise("")
 
 
 def turnover(text: Column) -> Column:
@@ -68,21 +71,30 @@ def contact_name(text: Column) -> Column:
     return F.trim(first_match(text, fixed.CONTACT_PATTERNS))
 
 
-def erp_by_pattern(text: Column) -> Column:
-    ladder = None
-    for name, pattern in fixed.ERP_PATTERNS:
-        hit = text.rlike(unicode_i(pattern))
-        ladder = F.when(hit, name) if ladder is None else ladder.when(hit, name)
+_ERP_WORDS = "(?i)sap|oracle|tally|zoho|odoo|infor|dynamics|busy|marg"
+_ERP_PHRASE_WORDS = "sap |oracle|dynamics|d365|netsuite|odoo|zoho|tally|infor"
+
+
+def _first_hit(hits: list[tuple[str, Column]]) -> Column:
+    """Name of the first condition that holds, else the empty string."""
+    ladder = F.when(hits[0][1], hits[0][0])
+    for name, hit in hits[1:]:
+        ladder = ladder.when(hit, name)
     return ladder.otherwise("")
 
 
+def erp_by_pattern(text: Column) -> Column:
+    """First software whose pattern is found; one look for any of the words comes first."""
+    found = _first_hit([(name, text.rlike(unicode_i(pattern))) for name, pattern in fixed.ERP_PATTERNS])
+    return F.when(text.rlike(_ERP_WORDS), found).otherwise("")
+
+
 def erp_by_phrase(text: Column) -> Column:
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    ladder = None
-    for name, phrases in fixed.ERP_PHRASES:
-        hit = contains_any(padded, phrases)
-        ladder = F.when(hit, name) if ladder is None else ladder.when(hit, name)
-    return ladder.otherwise("")
+    def found(padded: Column) -> Column:
+        hit = _first_hit([(name, contains_any(padded, phrases)) for name, phrases in fixed.ERP_PHRASES])
+        return F.when(padded.rlike(_ERP_PHRASE_WORDS), hit).otherwise("")
+
+    return bind(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), found)
 
 
 def detect_erp(text: Column) -> Column:
@@ -91,12 +103,8 @@ def detect_erp(text: Column) -> Column:
 
 def industry_of_text(text: Column) -> Column:
     """First keyword group, in priority order, with a hit anywhere in the text."""
-    low = F.lower(text)
-    ladder = None
-    for name, keywords in fixed.INDUSTRY_KEYWORDS.items():
-        hit = contains_any(low, keywords)
-        ladder = F.when(hit, name) if ladder is None else ladder.when(hit, name)
-    return ladder.otherwise("")
+    return bind(F.lower(text), lambda low: _first_hit(
+        [(name, contains_any(low, keywords)) for name, keywords in fixed.INDUSTRY_KEYWORDS.items()]))
 
 
 def gstin(text: Column) -> Column:

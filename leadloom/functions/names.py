@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from leadloom.functions import fixed
-from leadloom.functions.text import SPACE_CHARS, any_of, bind, extract, squeeze, unicode
+from leadloom.functions.text import SPACE_CHARS, any_of, bind, extract, squeeze, unicode, unicode_i
 
 _SUFFIX = rf"(?i)\b(?:{any_of(fixed.LEGAL_SUFFIXES)})\b\.?"
 _INVALID = "(?i)" + "|".join(dict.fromkeys(fixed.INVALID_NAME_PATTERNS))
@@ -63,7 +63,7 @@ def is_valid_name_basic(name: Column) -> Column:
 def strip_title_noise(title: Column) -> Column:
     out = title
     for pattern in fixed.TITLE_NOISE:
-        out = F.trim(F.regexp_replace(out, "(?iU)" + pattern, ""))
+        out = F.trim(F.regexp_replace(out, unicode_i(pattern), ""))
     return out
 
 
@@ -73,5 +73,5 @@ def copyright_name(text: Column) -> Column:
 
 def strip_name_noise(name: Column) -> Column:
     """Drop site words; nothing is left unless two letters stand together."""
-    kept = F.regexp_replace(F.regexp_replace(name, "(?iU)" + fixed.NAME_NOISE, ""), r"^[ \-|:]+|[ \-|:]+$", "")
+    kept = F.regexp_replace(F.regexp_replace(name, unicode_i(fixed.NAME_NOISE), ""), r"^[ \-|:]+|[ \-|:]+$", "")
     return F.coalesce(F.get(F.filter(F.array(kept), lambda k: k.rlike("[A-Za-z]{2,}")), 0), F.lit(""))

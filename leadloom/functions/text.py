@@ -70,13 +70,31 @@ def extract_all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
-def unicode(pattern: str) -> str:
-    """Unicode-aware classes and boundaries."""
-    return "(?U)" + pattern
+def unicode(pattern: str, flags: str = "") -> str:
+    """The pattern with Unicode white space, word characters and boundaries.
+
+    Classes are spelled out; the much slower Unicode mode is only switched on
+    where a word boundary needs it.
+    """
+    out, in_class, at = [], False, 0
+    while at < len(pattern):
+        two = pattern[at:at + 2]
+        if two == r"\s":
+            out.append(SPACE_CHARS if in_class else SPACE)
+        elif two == r"\w":
+            out.append(r"\p{L}\p{N}_" if in_class else WORD)
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            in_class = (in_class or two[0] == "[") and two[0] != "]"
+            out.append(two[0])
+        at += 2 if two[0] == "\\" else 1
+    flags += "U" if r"\b" in pattern else ""
+    return (f"(?{flags})" if flags else "") + "".join(out)
 
 
 def unicode_i(pattern: str) -> str:
-    return "(?iU)" + pattern
+    return unicode(pattern, "i")
 
 
 def squeeze(c: Column) -> Column:

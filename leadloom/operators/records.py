@@ -25,7 +25,7 @@ def _clean_each(df: DataFrame, clean) -> DataFrame:
     """Apply one cleaning expression to all text fields at once, which keeps the plan small."""
     fields = _text_fields(df)
     values = F.array(*[F.coalesce(F.col(f), F.lit("")) for f in fields])
-    cleaned = df.withColumn("_clean", F.transform(values, lambda v: clean(v)))
+    cleaned = df.withColumn("_clean", F.transform(values, lambda v: F.when(v != "", clean(v)).otherwise(v)))
     return _with(cleaned, {f: F.get("_clean", i) for i, f in enumerate(fields)}).drop("_clean")
 
 

@@ -226,8 +226,9 @@ def _pieces(nodes: DataFrame, shorter: bool, kept: int) -> DataFrame:
 
     The shorter name of a pair is cut into k + kept parts, k being the edits
     allowed; at least ``kept`` parts survive unchanged in the longer name, at
-    most k places away.  The key is the lengths of both names, the numbers of
-    the parts and their text.
+    most k places away.  The key is a hash of the lengths of both names, the
+    numbers of the parts and their text; pairs are verified later, so that
+    two pieces with the same hash do no harm.
     """
     n = F.length("name")
     if shorter:
@@ -260,7 +261,7 @@ def _pieces(nodes: DataFrame, shorter: bool, kept: int) -> DataFrame:
     for i in names_of:
         shift = F.lit(0) if shorter else F.col(f"s{i}")
         texts.append(F.substring(F.col("name"), start(F.col(i)) + shift + 1, start(F.col(i) + 1) - start(F.col(i))))
-    return numbered.select("id", "name", F.struct("la", "lb", *names_of, *[x.alias(f"t{m}") for m, x in enumerate(texts)]).alias("key")).distinct()
+    return numbered.select("id", "name", F.xxhash64("la", "lb", *names_of, *texts).alias("key"))
 
 
 def similar_names(nodes: DataFrame, other_prefix_only: bool = True, hot_pairs: int = HOT_PAIRS) -> DataFrame:
@@ -295,10 +296,10 @@ def similar_names(nodes: DataFrame, other_prefix_only: bool = True, hot_pairs: i
             sized = sized.filter(F.col("lo") != F.col("hi"))
         return sized.select("key", (F.col("na").cast("double") * F.col("nb") > hot_pairs).alias("hot"))
 
-    a, b = _pieces(nodes, True, 1), _pieces(nodes, False, 1)
-    sized = groups(a, b)
+    a, b = cut_lineage(_pieces(nodes, True, 1)), cut_lineage(_pieces(nodes, False, 1))
+    sized = cut_lineage(groups(a, b))
     pairs = paired(a.join(sized.filter(~F.col("hot")).select("key"), "key", "left_semi"), b)
-    hot = cut_lineage(sized.filter("hot").select("key"))
+    hot = sized.filter("hot").select("key")
     if hot.isEmpty():
         return pairs.distinct()
     crowded = cut_lineage(a.unionByName(b).join(hot, "key", "left_semi").select("id", "name").distinct())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadloom.functions import contacts, text as t
 from leadloom.schema import as_records, record
+from leadloom.session import spread
 
 # wording given to customer and supplier rows by key, so that addresses, facts and contacts have something to find:
 # prefix, phone, address, description, info
@@ -39,8 +40,12 @@ PHRASES = [
 _FIELDS = "slot int, prefix string, phone string, address string, description string, info string"
 
 
+TEXT_TABLES = {"pages", "documents", "conversations"}  # much work per row
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,6 +80,7 @@ def entity_records(spark: SparkSession, sf: str) -> DataFrame:
     both = customers.unionByName(suppliers).join(F.broadcast(nation), "nk")
     worded = both.withColumn("slot", F.pmod("k", F.lit(len(PHRASES))).cast("int")).join(
         F.broadcast(phrases(spark)), "slot")
+    worded = spread(worded)
     tail = F.when(F.col("industry") == "", "Supply House").otherwise(F.concat(F.initcap("industry"), F.lit(" Works")))
     host = F.lower(F.replace("prefix", F.lit(" "), F.lit("")))
     group = F.pmod("k", F.lit(37)).cast("string")
