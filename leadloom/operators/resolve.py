@@ -287,11 +287,12 @@ def similar_names(nodes: DataFrame, other_prefix_only: bool = True, hot_pairs: i
 
     def groups(a: DataFrame, b: DataFrame) -> DataFrame:
         head = F.substring("name", 1, 4)
-        sides = a.select("key", head.alias("head"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
-            b.select("key", head.alias("head"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+        sides = a.select("key", "id", head.alias("head"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
+            b.select("key", "id", head.alias("head"), F.lit(0).alias("a"), F.lit(1).alias("b")))
         sized = sides.groupBy("key").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"),
-                                         F.min("head").alias("lo"), F.max("head").alias("hi"))
-        sized = sized.filter((F.col("na") > 0) & (F.col("nb") > 0) & (F.col("na") + F.col("nb") > 2))
+                                         F.min("head").alias("lo"), F.max("head").alias("hi"),
+                                         (F.min("id") != F.max("id")).alias("several"))
+        sized = sized.filter((F.col("na") > 0) & (F.col("nb") > 0) & F.col("several"))
         if other_prefix_only:
             sized = sized.filter(F.col("lo") != F.col("hi"))
         return sized.select("key", (F.col("na").cast("double") * F.col("nb") > hot_pairs).alias("hot"))

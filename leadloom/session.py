@@ -50,3 +50,13 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+# settings worth having in a session that runs these jobs
+RECOMMENDED_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # building long expressions is several times faster without a recorded call site for each operator
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}

@@ -63,9 +63,11 @@ def compare(spark, con, sf_dir: str, job, sql: str | None):
 def session():
     from pyspark.sql import SparkSession
 
-    spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+    from leadloom.session import RECOMMENDED_CONF
+
+    settings = {**RECOMMENDED_CONF, "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+                "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    spark = SparkSession.builder.master("local[8]").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
