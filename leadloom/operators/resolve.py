@@ -199,14 +199,15 @@ def name_nodes(keys: DataFrame) -> DataFrame:
 def contained_names(nodes: DataFrame) -> DataFrame:
     """Pairs where one name is part of another: an equality join of names with the pieces of longer names.
 
-    Pieces are cut only at lengths some name has.  The number of pieces
-    depends on the length of a name, not on how many names share a piece.
+    Pieces are cut only at lengths some name has (a short list, bounded by the
+    longest name).  The number of pieces depends on the length of a name, not
+    on how many names share a piece.
     """
-    lengths = nodes.agg(F.array_sort(F.collect_set(F.length("name"))).alias("lengths"))
-    longer = nodes.crossJoin(F.broadcast(lengths))  # one row: the distinct name lengths
-    pieces = longer.select(
+    known = sorted(r["n"] for r in nodes.select(F.length("name").alias("n")).distinct().collect())
+    lengths = F.array(*map(F.lit, known)) if known else F.array().cast("array<int>")
+    pieces = nodes.select(
         F.col("id").alias("right_id"), F.col("name").alias("right_name"),
-        F.explode(F.filter("lengths", lambda n: n < F.length("name"))).alias("n"),
+        F.explode(F.filter(lengths, lambda n: n < F.length("name"))).alias("n"),
     ).select("right_id", "right_name", F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.length("right_name") - F.col("n") + 1),
         lambda at: F.substring(F.col("right_name"), at, F.col("n")),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from leadloom.session import cut_lineage
+
 
 def named(c: str, unknown: str) -> Column:
     return F.when(F.coalesce(F.col(c), F.lit("")) == "", unknown).otherwise(F.col(c))
@@ -91,26 +93,32 @@ def source_yield(df: DataFrame, source: str, query: str, failed: Column) -> Data
         F.grouping_id().cast("int").alias("level"))
 
 
-def number_rows(df: DataFrame, by: list[str], ord: str, name: str, buckets: int = 4096) -> DataFrame:
-    """1..n in ``ord`` order (a whole number, unique per group), without one task per group.
+_LOCAL_BITS = 33  # row ids hold the partition above and the row of the partition below this bit
+
+
+def number_rows(df: DataFrame, by: list[str], ord: str, name: str) -> DataFrame:
+    """1..n in ``ord`` order within each group, without one task per group.
 
-    Rows are numbered inside ranges of ``ord``; the sizes of the ranges, at
-    most ``buckets`` per group, give the offsets.  A group that holds most of
-    the rows is still spread over its ranges.
+    The rows are spread over sampled, equally filled ranges of (group, ord)
+    and written once with their place in their range; the sizes of the
+    ranges, one row per partition, turn that into places in the whole table.
+    A group that holds most of the rows lies over many ranges.
     """
-    span = df.agg(F.min(ord).alias("_lo"), F.max(ord).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo") + 1) / F.lit(float(buckets))
-    placed = df.join(F.broadcast(span)).withColumn("_bucket", F.floor((F.col(ord) - F.col("_lo")) / width))
-    sizes = placed.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    if not by:
-        offsets = F.broadcast(offsets)
-    local = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(ord))
-    numbered = placed.withColumn("_local", local).join(offsets, [*by, "_bucket"])
-    return numbered.withColumn(name, (F.col("_offset") + F.col("_local")).cast("long")).select(*df.columns, name)
-
-
-def serial_number(df: DataFrame, ord: str = "ord", buckets: int = 4096, name: str = "serial") -> DataFrame:
+    c = F.col
+    ranged = df.repartitionByRange(*by, ord).sortWithinPartitions(*by, ord)
+    written = cut_lineage(ranged.withColumn("_row", F.monotonically_increasing_id()))
+    placed = written.withColumn("_part", F.shiftright("_row", _LOCAL_BITS))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    local = c("_row").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    numbered = placed.join(F.broadcast(offsets), "_part").withColumn("_rank", c("_offset") + local + 1)
+    if by:
+        starts = numbered.groupBy(*by).agg(F.min("_rank").alias("_start"))
+        numbered = numbered.join(starts, by).withColumn("_rank", c("_rank") - c("_start") + 1)
+    return numbered.select(*df.columns, c("_rank").cast("long").alias(name))
+
+
+def serial_number(df: DataFrame, ord: str = "ord", name: str = "serial") -> DataFrame:
     """1..n over the whole table in ``ord`` order."""
-    return number_rows(df, [], ord, name, buckets)
+    return number_rows(df, [], ord, name)

@@ -27,10 +27,10 @@ def lead_records(raw: DataFrame, threshold: str = fixed.MIN_QUALITY, lookups: Lo
                  prefix_rule: bool = True) -> DataFrame:
     """Prepared records with duplicates merged, in the record layout.
 
-    Both the prepared and the merged records are read more than once by what
-    follows; they are written once so that no text rule runs twice.
+    The prepared records are read more than once by what follows; they are
+    written once so that no text rule runs twice.
     """
-    return cut_lineage(dedupe(cut_lineage(prepared(raw, threshold, lookups)), prefix_rule))
+    return dedupe(cut_lineage(prepared(raw, threshold, lookups)), prefix_rule)
 
 
 def lead_table(raw: DataFrame, threshold: str = fixed.MIN_QUALITY, lookups: Lookups | None = None,
@@ -41,13 +41,13 @@ def lead_table(raw: DataFrame, threshold: str = fixed.MIN_QUALITY, lookups: Look
 
 def lead_table_exact(raw: DataFrame, threshold: str = fixed.MIN_QUALITY) -> DataFrame:
     """The finished table with exact duplicates merged only: one shuffle and no rounds."""
-    return to_output_schema(cut_lineage(dedupe_exact(cut_lineage(prepared(raw, threshold)))))
+    return to_output_schema(dedupe_exact(cut_lineage(prepared(raw, threshold))))
 
 
 def lead_table_basic(raw: DataFrame, prefix_rule: bool = True) -> DataFrame:
     """The lighter run: basic cleaning, no quality filter, one enrichment pass."""
     own = enrich_location(enrich_company(normalize_records(clean_records_basic(raw))))
-    return to_output_schema(cut_lineage(dedupe(cut_lineage(own), prefix_rule)))
+    return to_output_schema(dedupe(cut_lineage(own), prefix_rule))
 
 
 def bulk_run(params: DataFrame, pages: DataFrame, sources: list[str], out: str,
