@@ -152,7 +152,19 @@ def _(spark, sf):
     return params.build_queries(_part_params(spark, sf))
 
 
-@query("parse_requests")
+_ASKED = "trim(" + q.sub(q.squeeze("text"), fixed.REQUEST_VERBS) + ")"
+_WHERE = (
+    r"(?i)(^|[^\p{L}\p{N}_])((?:in|near|from|at|around|across)\s+)([A-Za-z][a-zA-Z\s]+?)"
+    r"(\s+(?:who|that|which|providing|with|for|and|,|\.|$)|[,.]|$)"
+)
+
+
+@query("parse_requests", (
+    "SELECT id, " + q.squeeze("CASE WHEN hit <> '' THEN left(asked, strpos(asked, hit) - 1) || ' ' || substr(asked, strpos(asked, hit) + length(hit)) ELSE asked END")
+    + " AS keyword, rtrim(trim(place), '.,') AS location, '' AS industry FROM (SELECT id, asked, " + q.ext("asked", _WHERE, 3) + " AS place, "
+    + q.ext("asked", _WHERE, 2) + " || " + q.ext("asked", _WHERE, 3)
+    + f" AS hit FROM (SELECT conv_id * 1000 + turn AS id, {_ASKED} AS asked FROM conversations WHERE role = 'user'))"
+))
 def _(spark, sf):
     asked = v.table(spark, sf, "conversations").filter(F.col("role") == "user")
     return params.parse_requests(asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id")

@@ -44,13 +44,16 @@ def _(spark, sf):
 _BASIC = {f: q.sub(q.squeeze(f), r"[\x00-\x1f\x7f-\x{9f}]") for f in RECORD_FIELDS}
 
 
-@query("clean_records_basic", "SELECT " + _COLS + " FROM (" + q.replace_fields(f"({q.replace_fields(_ENTITY, _BASIC)})", {
+_BASIC_SQL = q.replace_fields(f"({q.replace_fields(_ENTITY, _BASIC)})", {
     "email": f"CASE WHEN {q.valid_email('email')} THEN email ELSE '' END",
     "phone": f"CASE WHEN {q.valid_phone('phone')} THEN phone ELSE '' END",
     "website": f"CASE WHEN contains({q.host('website')}, '.') THEN website ELSE '' END",
     "company_name": "CASE WHEN length(trim(company_name)) >= 2"
                     + "".join(f" AND NOT contains(lower(company_name), {q.lit(j)})" for j in fixed.JUNK_NAMES) + " THEN company_name ELSE '' END",
-}) + ")")
+})
+
+
+@query("clean_records_basic", f"SELECT {_COLS} FROM ({_BASIC_SQL})")
 def _(spark, sf):
     return rec.clean_records_basic(v.entity_records(spark, sf))
 
@@ -432,10 +435,24 @@ def _(spark, sf):
     return resolve.cluster_ids(_named_pages(spark, sf)).select("ord", "cluster")
 
 
-@query("dedupe_fuzzy")
+def _fuzzy_sql(source: str) -> str:
+    """Exact merge, links by every rule, components, merge: ``source`` is a parenthesised statement of records."""
+    keys = (f"SELECT ord, {q.norm_key('company_name')} AS name, {q.norm_key('website')} AS site, {q.norm_key('email')} AS mail,"
+            f" CASE WHEN length({q.digits('phone')}) >= 10 THEN {q.digits('phone')} ELSE '' END AS tel FROM x")
+    links = _links_sql().replace(f"SELECT * FROM {_NAMED}", keys, 1).replace(
+        "links AS (", "links AS (" + _star_sql("mail", "email") + " UNION ALL " + _star_sql("tel", "phone") + " UNION ALL ", 1)
+    links = links.replace("WITH r AS (", f"WITH RECURSIVE x AS MATERIALIZED ({q.exact_merged(source)}), r AS MATERIALIZED (", 1)
+    return (
+        links + _COMPONENTS + ", reach(u, v) AS (SELECT ord, ord FROM r UNION SELECT reach.u, e.v FROM reach JOIN e ON reach.v = e.u),"
+        " k AS (SELECT u AS ord, min(v) AS cluster FROM reach GROUP BY u) "
+        + q.merged("(SELECT x.* EXCLUDE (n_records), cluster FROM x JOIN k USING (ord))", ["cluster"])
+    )
+
+
+@query("dedupe_fuzzy", "SELECT ord, n_records, company_name, website, email, phone, additional_info FROM (" + _fuzzy_sql("(" + q.cleaned(_ENTITY) + ")") + ")")
 def _(spark, sf):
     return resolve.dedupe(rec.clean_records(v.entity_records(spark, sf))).select(
-        "ord", "n_records", "company_name", "website", "email", "phone")
+        "ord", "n_records", "company_name", "website", "email", "phone", "additional_info")
 
 
 @query("ordered_distinct", (
@@ -649,12 +666,12 @@ def _(spark, sf):
     return _snake(leads.lead_table_exact(v.entity_records(spark, sf)))
 
 
-@query("lead_table")
+@query("lead_table", _output_sql("(" + _fuzzy_sql("(" + _prepared_sql(_ENTITY, "5.5") + ")") + ")"))
 def _(spark, sf):
     return _snake(leads.lead_table(v.entity_records(spark, sf)))
 
 
-@query("lead_table_pages")
+@query("lead_table_pages", _output_sql("(" + _fuzzy_sql("(" + _prepared_sql(_PAGE, LOW) + ")") + ")"))
 def _(spark, sf):
     return _snake(leads.lead_table(v.page_records(spark, sf), LOW))
 
@@ -665,11 +682,23 @@ def _(spark, sf):
     return _snake(leads.lead_table(v.entity_records(spark, sf), lookups=lookups))
 
 
-@query("lead_table_basic")
+@query("lead_table_basic", _output_sql("(" + _fuzzy_sql(
+    "(" + q.located(f"({q.enriched(f'({q.normalized(f"({_BASIC_SQL})")})')})") + ")") + ")"))
 def _(spark, sf):
     return _snake(leads.lead_table_basic(v.entity_records(spark, sf)))
 
 
+@query("bulk_run")
+def _(spark, sf):
+    host = t.url_host(F.col("url"))
+    fetched = v.pages(spark, sf).select(
+        "page_id", host.alias("query"), F.when(F.col("page_id") % 2 == 0, "website").otherwise("direct_website").alias("source"),
+        "url", "html")
+    asked = fetched.groupBy(F.col("query").alias("keyword")).agg(F.min("page_id").alias("ord")).select(
+        "ord", "keyword", F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("industry"))
+    return _snake(leads.bulk_run(asked, fetched, ["website", "direct_website"], _scratch(spark), LOW))
+
+
 # --- L: streams ------------------------------------------------------------
 
 @query("stream_job_state", _LATEST)
