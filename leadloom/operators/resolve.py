@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leadloom.functions import fixed
 from leadloom.functions.contacts import digits
-from leadloom.functions.text import norm_key, url_host, url_path
+from leadloom.functions.text import bind, norm_key, url_host, url_path
 from leadloom.session import cut_lineage
 
-FOLD_CHARS = 100_000  # longest info text that is put together in one cell
+FOLD_CHARS = 2_000_000  # longest info text that is put together in one cell
 HOT_PAIRS = 1_000_000  # candidate pairs of one name piece before a longer piece is asked for
 
 
@@ -110,6 +110,24 @@ def info_parts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.filter(F.coalesce(F.col("additional_info"), F.lit("")) != "").select(*keys, "ord", "additional_info")
 
 
+def _fold(parts: Column) -> Column:
+    """Info texts put side by side, each left out when it equals all that is there already.
+
+    Only the texts equal to the first one at the very start can be left out,
+    unless a text holds the separator itself; then the slower way is taken.
+    """
+    def joined(p: Column) -> Column:
+        first = F.get(p, 0)
+        new = F.array_position(F.transform(p, lambda x: x != first), True)
+        rest = F.when(new > 0, F.slice(p, new.cast("int"), F.size(p))).otherwise(F.slice(p, 1, 0))
+        step_by_step = F.aggregate(p, F.lit(""), lambda text, part: F.when(text == "", part).when(
+            text == part, text).otherwise(F.concat(text, F.lit(" | "), part)))
+        return F.when(F.exists(p, lambda x: F.contains(x, F.lit(" | "))), step_by_step).otherwise(
+            F.array_join(F.concat(F.array(first), rest), " | "))
+
+    return bind(parts, joined)
+
+
 def merge_cluster(df: DataFrame, keys: list[str], fold_chars: int = FOLD_CHARS) -> DataFrame:
     """One record per key, merged in ``ord`` order.
 
@@ -143,12 +161,8 @@ def merge_cluster(df: DataFrame, keys: list[str], fold_chars: int = FOLD_CHARS)
     gathered = texts.groupBy(*[c(k).alias(f"_k_{k}") for k in keys]).agg(
         F.array_sort(F.collect_list(F.struct("ord", "additional_info"))).alias("_parts")
     )
-    folded = F.aggregate(
-        F.transform("_parts", lambda p: p["additional_info"]), F.lit(""),
-        lambda text, part: F.when(text == "", part).when(text == part, text).otherwise(
-            F.concat(text, F.lit(" | "), part)),
-    )
-    texts_of = gathered.select(*[f"_k_{k}" for k in keys], folded.alias("_folded"))
+    texts_of = gathered.select(*[f"_k_{k}" for k in keys], _fold(F.transform(
+        "_parts", lambda p: p["additional_info"])).alias("_folded"))
     simple = F.coalesce(c("_lo") == c("_hi"), F.lit(True))
     short = c("_chars") <= fold_chars
     out = merged.join(texts_of, on, "left")

@@ -123,6 +123,15 @@ def test_merge_order_and_info(spark):
     assert (row["ord"], row["phone"], row["turnover"], row["additional_info"], row["n_records"]) == (1, "1", "", "A | B | A", 3)
 
 
+@pytest.mark.parametrize("infos, wanted", [
+    (["A", "A", "B", "A", "B"], "A | B | A | B"), (["A", "B", "A | B", "C"], "A | B | C"), (["", "A", "", "A"], "A"),
+    (["A", "B", "B"], "A | B | B"),
+])
+def test_info_folding(spark, infos, wanted):
+    rows = [{"ord": i, "company_name": "Acme", "additional_info": x} for i, x in enumerate(infos)]
+    assert resolve.dedupe_exact(records(spark, rows)).first()["additional_info"] == wanted
+
+
 def test_long_infos_stay_whole_as_parts(spark):
     rows = [{"ord": i, "company_name": "Acme", "additional_info": f"note {i}"} for i in range(50)]
     df = records(spark, rows).withColumn("k", F.lit(1))
