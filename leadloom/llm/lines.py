@@ -26,6 +26,8 @@ BITS = 1 << 28
 PIECE = 1 << 16
 HASHES = 2
 FLUSH = 1 << 18
+#: Up to so many keys to be dropped are sent to every worker (about 150 bytes each there); more are joined by document.
+SENT_KEYS = 200_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -152,7 +154,7 @@ def seen_twice(documents: DataFrame, least: int = 1, bits: int = BITS) -> bytes:
 
 
 def drop_repeated_lines(documents: DataFrame, min_documents: int = 10, min_chars: int = 1, keep_first: bool = False,
-                        bits: int = BITS, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+                        bits: int = BITS, sent_keys: int = SENT_KEYS, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """``documents`` with the lines dropped whose key is in at least ``min_documents`` documents.
 
     A line's key is the line without blanks at its ends and with A-Z in lower
@@ -165,6 +167,10 @@ def drop_repeated_lines(documents: DataFrame, min_documents: int = 10, min_chars
     null text is one empty line and becomes the empty text.  All columns stay
     and two are added: the number of lines before, and of those dropped
     (names that clash with a column of the input get a ``_`` at the end).
+
+    If there are at most ``sent_keys`` keys to drop, every worker gets them
+    and no text is shuffled; otherwise the documents that hold one are joined
+    with their keys.  The result is the same.
     """
     spark = documents.sparkSession
     names = documents.columns
@@ -194,34 +200,49 @@ def drop_repeated_lines(documents: DataFrame, min_documents: int = 10, min_chars
     repeated = cut_lineage(
         hits.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "line")).alias("first"))
         .filter(F.col("n") >= min_documents).select("digest", "first"))
+    at = names.index("text")
+    schema = T.StructType([*documents.schema.fields, *(T.StructField(x, T.LongType(), False) for x in added)])
+
+    def rewritten(batch: pa.RecordBatch, doomed) -> pa.RecordBatch:
+        """The batch's rows without their doomed lines; ``doomed`` says it of (row, digest, line)."""
+        texts, counts, dropped = [], [], []
+        for row, text in enumerate(batch.column(at).to_pylist()):
+            lines = (text or "").split("\n")
+            kept = [x for i, (x, key) in enumerate(zip(lines, keys_of(text, min_chars))) if not key or not doomed(row, digest(key), i)]
+            texts.append("\n".join(kept))
+            counts.append(len(lines))
+            dropped.append(len(lines) - len(kept))
+        columns = list(batch.columns[: len(names)])
+        columns[at] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, *added])
+
+    if repeated.count() <= sent_keys:
+        first_of = {bytes(r["digest"]): (r["first"]["doc_id"], r["first"]["line"]) if keep_first else None for r in repeated.collect()}
+        sent = spark.sparkContext.broadcast(first_of)
+        id_at = names.index("doc_id")
+
+        def drop(batches: Batches) -> Batches:
+            first_of = sent.value
+            for batch in batches:
+                ids = batch.column(id_at).to_pylist() if keep_first else None
+                yield rewritten(batch, lambda row, key, i: key in first_of and not (keep_first and first_of[key] == (ids[row], i)))
+
+        return documents.mapInArrow(drop, schema)
+
     found = hits.join(repeated, "digest")
     stays = F.when(F.struct(F.col("doc_id").isNull(), "doc_id", "line") == F.col("first"), F.col("line")) if keep_first \
         else F.lit(None).cast("int")
     doomed = cut_lineage(found.groupBy("doc_id").agg(F.collect_set("digest").alias("digests"), F.collect_list(stays).alias("firsts")))
-
     inner = [f"c{i}" for i in range(len(names))]
-    at = names.index("text")
-    schema = T.StructType([*documents.schema.fields, *(T.StructField(x, T.LongType(), False) for x in added)])
     flagged = may_hold(documents.toDF(*inner).withColumn("key", F.col(f"c{names.index('doc_id')}").cast("long")), "key", doomed.withColumnRenamed("doc_id", "key"))
     nothing = [F.lit(None).cast("array<binary>").alias("digests"), F.lit(None).cast("array<int>").alias("firsts")]
     clean = flagged.filter("not may_hold").select(*inner, *nothing)
     touched = flagged.filter("may_hold").alias("d").join(doomed.alias("x"), F.expr("d.key <=> x.doc_id"), "left")
 
-    def rewrite(batches: Batches) -> Batches:
+    def drop_joined(batches: Batches) -> Batches:
         for batch in batches:
-            texts, counts, dropped = [], [], []
-            for text, digests, firsts in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
-                lines = (text or "").split("\n")
-                kept = lines
-                if digests:
-                    bad, stay = set(digests), set(firsts)
-                    keys = keys_of(text, min_chars)
-                    kept = [x for i, x in enumerate(lines) if i in stay or not keys[i] or digest(keys[i]) not in bad]
-                texts.append("\n".join(kept))
-                counts.append(len(lines))
-                dropped.append(len(lines) - len(kept))
-            columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, *added])
-
-    return clean.unionByName(touched.select(*inner, "digests", "firsts")).mapInArrow(rewrite, schema)
+            bad = [set(x or ()) for x in batch.column(len(names)).to_pylist()]
+            stay = [set(x or ()) for x in batch.column(len(names) + 1).to_pylist()]
+            yield rewritten(batch, lambda row, key, i: key in bad[row] and i not in stay[row])
+
+    return clean.unionByName(touched.select(*inner, "digests", "firsts")).mapInArrow(drop_joined, schema)
