@@ -248,7 +248,7 @@ def read_ids(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
                      pa.array(crcs, pa.int64())], schema=schema)
 
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return placed.repartition(spread, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(spread).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(documents: DataFrame, tokenizer: str | None = None, end: int = END, **options) -> DataFrame:

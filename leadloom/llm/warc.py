@@ -248,7 +248,7 @@ def normalise_archives(archives: DataFrame, source: str, folder: str) -> DataFra
     system, root = file_system(folder)
     system.create_dir(f"{root}/index", recursive=True)
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return cut_lineage(archives.repartition(spread, "archive").mapInArrow(run, "archive string, records long"))
+    return cut_lineage(archives.repartition(spread).mapInArrow(run, "archive string, records long"))
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
