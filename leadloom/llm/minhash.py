@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from leadloom.llm.common import Batches, cut_lineage, may_hold, narrow_batches, texts_of
 from leadloom.llm.graph import components
-from leadloom.llm.shingles import mix, shingled, weighted_jaccard
+from leadloom.llm.shingles import mix, shingled
 
 COORDINATES = 80
 BAND = 4
 SIMILARITY = 0.8
 #: Texts of a side that are compared in one task.
-BLOCK = 64
+BLOCK = 256
 _FINE = 6
 _tables: dict[float, np.ndarray] = {}
 
@@ -118,6 +118,36 @@ def bands(ranks: np.ndarray, band: int = BAND) -> np.ndarray:
     return out.view(np.int64)
 
 
+def similarities(texts: list[str], left: list[int], right: list[int], columns: int = 2048) -> np.ndarray:
+    """Weighted Jaccard similarity of the left with the right texts.
+
+    A shingle with count c becomes c elements; what two texts share is then
+    a product of 0-1 matrices, made from elements of two texts or more, some
+    columns at a time.
+    """
+    elements, owners = [], []
+    for first, s in shingled(texts):
+        nth = np.arange(int(s.count.sum())) - np.repeat(np.cumsum(s.count) - s.count, s.count)
+        elements.append(mix(np.repeat(s.shingle, s.count) + nth.astype(np.uint64)))
+        owners.append(first + np.repeat(s.text, s.count))
+    elements, owners = np.concatenate(elements), np.concatenate(owners)
+    weight = np.bincount(owners, minlength=len(texts)).astype(np.float64)
+    _, number, times = np.unique(elements, return_inverse=True, return_counts=True)
+    new = np.cumsum(times > 1) - 1
+    common = times[number] > 1
+    number, owners = new[number[common]], owners[common]
+    order = np.argsort(number, kind="stable")
+    number, owners = number[order], owners[order]
+    shared = np.zeros((len(left), len(right)))
+    for low in range(0, int(number.max(initial=-1)) + 1, columns):
+        a, b = np.searchsorted(number, [low, low + columns])
+        has = np.zeros((len(texts), columns), np.float32)
+        has[owners[a:b], number[a:b] - low] = 1
+        shared += has[left] @ has[right].T
+    total = weight[left][:, None] + weight[right][None] - shared
+    return np.divide(shared, total, out=np.ones_like(shared), where=total > 0)
+
+
 # --- Spark -------------------------------------------------------------------
 
 def sketch(documents: DataFrame, coordinates: int = COORDINATES, band: int = BAND) -> DataFrame:
@@ -156,14 +186,12 @@ def _verified(groups: DataFrame, documents: DataFrame, similarity: float) -> Dat
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["id", "side"])
-        sets = {}
         texts = group.drop_duplicates("id")
-        numbers = texts["id"].tolist()
-        for first, s in shingled(texts["text"].tolist()):
-            cuts = np.searchsorted(s.text, np.arange(len(s.words) + 1))
-            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                sets[numbers[first + i]] = (s.shingle[a:b], s.count[a:b])
-        weights = {i: int(n.sum()) for i, (_, n) in sets.items()}
+        at = {id: i for i, id in enumerate(texts["id"].tolist())}
+        left = [at[x] for x in group.loc[group["side"] != 1, "id"]]
+        right = [at[x] for x in group.loc[group["side"] != 0, "id"]]
+        i, j = np.nonzero(similarities(texts["text"].tolist(), left, right) >= similarity)
+        ids, parts = texts["id"].tolist(), texts["component"].tolist()
         parent: dict = {}
 
         def root(x):
@@ -172,18 +200,12 @@ def _verified(groups: DataFrame, documents: DataFrame, similarity: float) -> Dat
                 x = parent[x]
             return x
 
-        component = dict(zip(group["id"], group["component"]))
-        left = group.loc[group["side"] != 1, "id"].tolist()
-        right = group.loc[group["side"] != 0, "id"].tolist()
         links = []
-        for a in left:
-            for b in right:
-                small, large = sorted((weights[a], weights[b]))
-                if a == b or small < similarity * large or root(component[a]) == root(component[b]):
-                    continue
-                if weighted_jaccard(sets[a], sets[b]) >= similarity:
-                    links.append((a, b))
-                    parent[root(component[a])] = root(component[b])
+        for x, y in zip(i.tolist(), j.tolist()):
+            x, y = left[x], right[y]
+            if root(parts[x]) != root(parts[y]):
+                parent[root(parts[x])] = root(parts[y])
+                links.append((ids[x], ids[y]))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return cut_lineage(rows.groupBy("task").applyInPandas(compare, "a long, b long"))
