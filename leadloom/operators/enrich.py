@@ -8,6 +8,7 @@ from leadloom.functions import facts, fixed, places
 from leadloom.functions.text import fill_missing, first_filled, norm_key
 from leadloom.operators.records import _with
 from leadloom.schema import RECORD_FIELDS
+from leadloom.session import cut_lineage
 
 
 def _text(*fields: str) -> Column:
@@ -67,13 +68,25 @@ def enrich_location(df: DataFrame, word_bounded: bool = False, strict_codes: boo
     }).drop("_at")
 
 
+def one_per_key(table: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``_key`` and one row of ``_x_`` fields per key: the first by ``ord`` where the table has it, then the smallest.
+
+    Written out, so that what joins it joins two plain shuffles, which adaptive
+    execution can split where many records ask for one key.
+    """
+    order = ["ord"] if "ord" in table.columns else []
+    first = table.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
+        F.min(F.struct(*order, *fields)).alias("_first"))
+    return cut_lineage(first.select("_key", *[F.col(f"_first.{f}").alias(f"_x_{f}") for f in fields]))
+
+
 def merge_fill(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:
-    """Fill the empty fields of ``base`` from the ``extra`` row of the same key (one row per key).
+    """Fill the empty fields of ``base`` from the ``extra`` row of the same key; of several, from the first (``one_per_key``).
 
     Info texts of both sides are put side by side when both have one.
     """
     fields = [f for f in RECORD_FIELDS if f in base.columns and f in extra.columns and f != key]
-    other = extra.select(F.col(key), *[F.col(f).alias(f"_x_{f}") for f in fields])
+    other = one_per_key(extra, key, fields).withColumnRenamed("_key", key)
     joined = base.join(other, key, "left")
     filled = {f: fill_missing(F.col(f), F.col(f"_x_{f}")) for f in fields}
     if "additional_info" in fields:
@@ -87,7 +100,7 @@ def merge_fill(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:
 # --- lookups ---------------------------------------------------------------
 
 class Lookups:
-    """Lookup tables for ``enrich_lookup``; every table has one row per key.
+    """Lookup tables for ``enrich_lookup``; of rows with the same key the first is taken (``one_per_key``).
 
     ``directory1``, ``directory2``, ``panel``, ``encyclopedia`` and ``directors``
     are keyed by ``name_key`` (see ``lookup_key``), ``gst`` by ``gstin``;
@@ -122,7 +135,7 @@ def _fill_from(df: DataFrame, table: DataFrame | None, key: str, guard: Column,
     if table is None:
         return df
     fields = [f for f in RECORD_FIELDS if f in table.columns]
-    other = table.select(F.col(key).alias("_key"), *[F.col(f).alias(f"_x_{f}") for f in fields])
+    other = one_per_key(table, key, fields)
     asked = df.withColumn("_ask", _asked_key(guard & (F.col(key) != ""), key))
     joined = asked.join(other, F.col("_ask") == F.col("_key"), "left")
     filled = {f: fill_missing(F.col(f), F.col(f"_x_{f}")) for f in fields}
@@ -158,7 +171,7 @@ def enrich_lookup(df: DataFrame, lookups: Lookups) -> DataFrame:
     if votes is None:
         out = _with(out, {"erp_software": F.when(wanted, text_erp).otherwise(c("erp_software"))})
     else:
-        vote = votes.select(c("name_key").alias("_key"), c("erp_software").alias("_vote"))
+        vote = one_per_key(votes, "name_key", ["erp_software"]).withColumnRenamed("_x_erp_software", "_vote")
         asked = out.withColumn("_ask", _asked_key(wanted, "name_key"))
         out = asked.join(vote, c("_ask") == c("_key"), "left")
         out = _with(out, {

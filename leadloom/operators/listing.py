@@ -126,7 +126,8 @@ def listing_rows(pages: DataFrame, rule: Rule, id: str = "page_id") -> DataFrame
 
 
 def _place(page: str = "page_id") -> Column:
-    return F.col(page) * 10000 + F.col("pos")
+    """Order of a card: by page, then by place in it.  An order only: records are never told apart by it."""
+    return F.col(page).cast("long") * (1 << 20) + F.col("pos")
 
 
 def _best_mail(text: Column) -> Column:
@@ -305,7 +306,7 @@ def website_records(pages: DataFrame, source: str = "website") -> DataFrame:
     own = pages.select("page_id", "url", "query", "html", t.page_text(html).alias("_text"))
     name = pg.best_name_of_candidates(pg.name_candidates_of_text(text, t.domain_of(url)))
     start = F.substring(text, 1, 500)
-    common = dict(ord=F.col("page_id"), website=url, email=_best_mail(text), phone=contacts.best_phone(text),
+    common = dict(ord=F.col("page_id").cast("long") * (1 << 20), website=url, email=_best_mail(text), phone=contacts.best_phone(text),
                   source=F.lit(source))
     if source == "direct_website":
         return own.select(*record(**common, company_name=name, description=start, additional_info=F.concat(

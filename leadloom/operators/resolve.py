@@ -16,7 +16,6 @@ from leadloom.functions.contacts import digits
 from leadloom.functions.text import bind, norm_key, url_host, url_path
 from leadloom.session import cut_lineage
 
-FOLD_CHARS = 2_000_000  # longest info text that is put together in one cell
 HOT_PAIRS = 1_000_000  # candidate pairs of one name piece before a longer piece is asked for
 
 
@@ -100,7 +99,8 @@ def discovery_cascade(seeds: DataFrame, max_results: int = 100) -> DataFrame:
         | ((F.col("source") == "directory2") & F.col("second"))
         | ((F.col("source") == "web") & F.col("web_city"))
     )
-    return seeds.join(plan, ["job", "city_pos"]).filter(admitted).select(*seeds.columns, "mode")
+    # written first: a join of plain shuffles can be split where a job is large
+    return seeds.join(cut_lineage(plan), ["job", "city_pos"]).filter(admitted).select(*seeds.columns, "mode")
 
 
 # --- merging ---------------------------------------------------------------
@@ -114,30 +114,37 @@ def _fold(parts: Column) -> Column:
     """Info texts put side by side, each left out when it equals all that is there already.
 
     Only the texts equal to the first one at the very start can be left out,
-    unless a text holds the separator itself; then the slower way is taken.
+    unless a text holds the separator itself.  Then a text is compared with
+    what is there only if it is exactly as long, so no text is put together
+    more often than a text of its length is read.
     """
     def joined(p: Column) -> Column:
         first = F.get(p, 0)
         new = F.array_position(F.transform(p, lambda x: x != first), True)
         rest = F.when(new > 0, F.slice(p, new.cast("int"), F.size(p))).otherwise(F.slice(p, 1, 0))
-        step_by_step = F.aggregate(p, F.lit(""), lambda text, part: F.when(text == "", part).when(
-            text == part, text).otherwise(F.concat(text, F.lit(" | "), part)))
-        return F.when(F.exists(p, lambda x: F.contains(x, F.lit(" | "))), step_by_step).otherwise(
-            F.array_join(F.concat(F.array(first), rest), " | "))
+        start = F.struct(F.lit(0).cast("long").alias("chars"), F.slice(p, 1, 0).alias("kept"))
+
+        def step(have: Column, part: Column) -> Column:
+            chars, kept = have["chars"], have["kept"]
+            same = F.when(chars == F.length(part), F.array_join(kept, " | ") == part).otherwise(False)
+            longer = chars + F.length(part) + F.when(chars > 0, 3).otherwise(0)
+            return F.when(same, have).otherwise(
+                F.struct(longer.cast("long").alias("chars"), F.concat(kept, F.array(part)).alias("kept")))
+
+        kept = F.when(F.exists(p, lambda x: F.contains(x, F.lit(" | "))), F.aggregate(p, start, step)["kept"])
+        return F.array_join(F.coalesce(kept, F.concat(F.array(first), rest)), " | ")
 
     return bind(parts, joined)
 
 
-def merge_cluster(df: DataFrame, keys: list[str], fold_chars: int = FOLD_CHARS) -> DataFrame:
-    """One record per key, merged in ``ord`` order.
+def merge_cluster(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One record per key, merged in ``ord`` order; among rows with the same ``ord`` the smaller value comes first.
 
     Merge fields take their first non-empty value, other fields stay with the
     first record.  Info texts are put side by side, leaving out a text equal
     to all that is there already.  Most clusters need no look at the single
-    texts (none, one, or all equal); for the others they are gathered, but
-    only where the cluster's texts together are shorter than ``fold_chars``.
-    Longer ones have ``info_complete`` false and an empty info: their whole
-    texts are the rows of ``info_parts``.
+    texts (none, one, or all equal); for the others all texts are gathered,
+    whatever their length: the merged text is one cell of the result.
     """
     c = F.col
     plain = [f for f in df.columns if f not in keys and f not in ("ord", "additional_info")]
@@ -148,14 +155,10 @@ def merge_cluster(df: DataFrame, keys: list[str], fold_chars: int = FOLD_CHARS)
         F.min("ord").alias("_ord"),
         F.count("*").alias("n_records"),
         F.min(F.struct("ord", *first_fields)).alias("_head"),
-        *[F.min_by(c(f), F.when(c(f) != "", c("ord"))).alias(f) for f in merged_fields],
-        F.min_by(info, F.when(info.isNotNull(), c("ord"))).alias("_info"),
+        *[F.min(F.when(c(f) != "", F.struct("ord", f)))[f].alias(f) for f in merged_fields],
         F.min(info).alias("_lo"), F.max(info).alias("_hi"),
-        F.sum(F.length(info) + 3).alias("_chars"),
-    )
-    several = merged.filter(c("_lo") != c("_hi")).filter(c("_chars") <= fold_chars).select(
-        *[c(k).alias(f"_k_{k}") for k in keys]
     )
+    several = merged.filter(c("_lo") != c("_hi")).select(*[c(k).alias(f"_k_{k}") for k in keys])
     on = [c(k).eqNullSafe(c(f"_k_{k}")) for k in keys]
     texts = info_parts(df, keys).join(several, on, "left_semi")
     gathered = texts.groupBy(*[c(k).alias(f"_k_{k}") for k in keys]).agg(
@@ -163,18 +166,12 @@ def merge_cluster(df: DataFrame, keys: list[str], fold_chars: int = FOLD_CHARS)
     )
     texts_of = gathered.select(*[f"_k_{k}" for k in keys], _fold(F.transform(
         "_parts", lambda p: p["additional_info"])).alias("_folded"))
-    simple = F.coalesce(c("_lo") == c("_hi"), F.lit(True))
-    short = c("_chars") <= fold_chars
     out = merged.join(texts_of, on, "left")
     columns = {f: F.coalesce(c(f), F.lit("")) for f in merged_fields}
     columns |= {f: c(f"_head.{f}") for f in first_fields}
-    columns["additional_info"] = F.when(simple, F.coalesce(c("_info"), F.lit(""))).otherwise(
-        F.coalesce(c("_folded"), F.lit("")))
+    columns["additional_info"] = F.coalesce(c("_folded"), c("_lo"), F.lit(""))
     order = [x for x in df.columns if x not in keys and x != "ord"]
-    return out.select(
-        *keys, c("_ord").alias("ord"), "n_records", (simple | short).alias("info_complete"),
-        *[columns[f].alias(f) for f in order],
-    )
+    return out.select(*keys, c("_ord").alias("ord"), "n_records", *[columns[f].alias(f) for f in order])
 
 
 def exact_keys() -> dict[str, Column]:
@@ -193,13 +190,14 @@ def dedupe_exact(df: DataFrame) -> DataFrame:
 def star_links(df: DataFrame, key: Column, id: str, reason: str) -> DataFrame:
     """Every member of a key group linked to the smallest id of the group: n - 1 links, never all pairs.
 
-    The minimum is combined before the shuffle; the join back has one row per
-    group on the other side, and adaptive execution splits it where a group
-    is large.
+    The smallest ids are combined on the map side and written out before they
+    are joined back: a join of two plain shuffles is one that adaptive
+    execution can split where a group is large; a join on top of the
+    aggregate itself is not.
     """
     members = df.select(F.col(id).alias("id"), key.alias("key")).filter(F.coalesce(F.col("key"), F.lit("")) != "")
     centres = members.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("_last"))
-    centres = centres.filter(F.col("centre") != F.col("_last")).drop("_last")
+    centres = cut_lineage(centres.filter(F.col("centre") != F.col("_last")).drop("_last"))
     return members.join(centres, "key").filter(F.col("id") != F.col("centre")).select(
         F.col("centre").alias("left_id"), F.col("id").alias("right_id"), F.lit(reason).alias("reason")
     )
@@ -210,25 +208,38 @@ def name_nodes(keys: DataFrame) -> DataFrame:
     return keys.filter(F.col("name") != "").groupBy("name").agg(F.min("id").alias("id"))
 
 
+def _grams(nodes: DataFrame, sizes: list[int]) -> DataFrame:
+    """id, name and each different piece of the name of the given sizes: at most one row per place and size."""
+    def cut(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.length("name") - n + 1)
+        return F.when(F.length("name") >= n, F.transform(places, lambda at: F.substring(F.col("name"), at, F.lit(n))))
+
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(*[F.coalesce(cut(n), none) for n in sizes]))
+    return nodes.select("id", "name", F.explode(every).alias("piece"))
+
+
 def contained_names(nodes: DataFrame) -> DataFrame:
-    """Pairs where one name is part of another: an equality join of names with the pieces of longer names.
+    """Pairs where one name is part of another.
 
-    Pieces are cut only at lengths some name has (a short list, bounded by the
-    longest name).  The number of pieces depends on the length of a name, not
-    on how many names share a piece.
+    A name of four letters or more asks with the rarest of its pieces of four
+    letters; every longer name that holds it holds that piece, and pairs are
+    verified.  Shorter names are joined with the pieces of their own length.
+    Rows grow with the places of a name, whatever its length.
     """
-    known = sorted(r["n"] for r in nodes.select(F.length("name").alias("n")).distinct().collect())
-    lengths = F.array(*map(F.lit, known)) if known else F.array().cast("array<int>")
-    pieces = nodes.select(
-        F.col("id").alias("right_id"), F.col("name").alias("right_name"),
-        F.explode(F.filter(lengths, lambda n: n < F.length("name"))).alias("n"),
-    ).select("right_id", "right_name", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("right_name") - F.col("n") + 1),
-        lambda at: F.substring(F.col("right_name"), at, F.col("n")),
-    ))).alias("piece"))
-    return pieces.join(
-        nodes.select(F.col("id").alias("left_id"), F.col("name").alias("piece")), "piece"
-    ).select("left_id", "right_id", F.col("piece").alias("left_name"), "right_name")
+    written = cut_lineage(_grams(nodes, [4]))
+    sizes = cut_lineage(written.groupBy("piece").agg(F.count("*").alias("n")))
+    rarest = cut_lineage(written.join(sizes, "piece").groupBy("id", "name").agg(
+        F.min(F.struct("n", "piece")).alias("least")).select("id", "name", "least.piece"))
+    short = nodes.filter(F.length("name") < 4).select("id", "name", F.col("name").alias("piece"))
+
+    def pairs(asking: DataFrame, pieces: DataFrame) -> DataFrame:
+        left = asking.select(F.col("id").alias("left_id"), F.col("name").alias("left_name"), "piece")
+        right = pieces.select(F.col("id").alias("right_id"), F.col("name").alias("right_name"), "piece")
+        both = left.join(right, "piece").filter(F.length("left_name") < F.length("right_name"))
+        return both.filter(F.contains("right_name", "left_name")).select("left_id", "right_id", "left_name", "right_name")
+
+    return pairs(rarest, written).unionByName(pairs(short, _grams(nodes, [1, 2, 3])))
 
 
 def _allowed(length: Column) -> Column:
@@ -359,34 +370,30 @@ def similar_pairs(df: DataFrame, id: str = "ord", prefix_rule: bool = True) -> D
 
 # --- clusters --------------------------------------------------------------
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(id, cluster) for every id that has a link; cluster is the smallest id of the component.
 
-    Alternating large-star and small-star rounds.  Each round is two
-    aggregations that keep one value per node and joins against them; the
-    links are written to the checkpoint folder after every round, so a lost
-    executor costs one round at most.
+    Alternating large-star and small-star rounds until a round changes no
+    link.  The least neighbour of each node is written out before it is joined
+    back, so that both sides are plain shuffles and a node with very many
+    links can be split.  The links are written to the checkpoint folder after
+    every round, so a lost executor costs one round at most.
     """
     u, v = F.col("u"), F.col("v")
-    edges = links.select(
+    edges = cut_lineage(links.select(
         F.greatest("left_id", "right_id").alias("u"), F.least("left_id", "right_id").alias("v")
-    ).filter(u != v).distinct()
-    edges = cut_lineage(edges)
-    before = None
-    for _ in range(max_rounds):
+    ).filter(u != v).distinct())
+    while True:
         both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).filter(u != v).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = cut_lineage(both.filter(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).filter(u != v).distinct())
+        smallest = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(smallest, "u").filter(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct())
-        state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if state == before:
+        after = cut_lineage(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct())
+        if after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty():
             break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
-    found = edges.select(u.alias("id"), v.alias("cluster"))
+        edges = after
+    found = after.select(u.alias("id"), v.alias("cluster"))
     return found.unionByName(found.select(F.col("cluster").alias("id"), "cluster").distinct())
 
 
@@ -397,15 +404,17 @@ def cluster_ids(df: DataFrame, id: str = "ord", prefix_rule: bool = True) -> Dat
 
 
 def dedupe_fuzzy(df: DataFrame, prefix_rule: bool = True) -> DataFrame:
-    """Merge all records that are linked by any rule, directly or over others."""
+    """Merge all records that are linked by any rule, directly or over others.
+
+    Records are told apart by an id given here; two records with the same
+    ``ord`` stay two unless a rule links them.
+    """
     # the records are read several times over by the linking rules: work on a written copy
-    fixed_input = cut_lineage(df)
-    clustered = cluster_ids(fixed_input, prefix_rule=prefix_rule)
+    fixed_input = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()))
+    clustered = cluster_ids(fixed_input, "_id", prefix_rule).drop("_id")
     return merge_cluster(clustered, ["cluster"]).drop("cluster")
 
 
 def dedupe(df: DataFrame, prefix_rule: bool = True) -> DataFrame:
     """Exact merge first, then the fuzzy one over what is left."""
-    exact = dedupe_exact(df).drop("n_records", "info_complete")
-    return dedupe_fuzzy(exact, prefix_rule)
-
+    return dedupe_fuzzy(dedupe_exact(df).drop("n_records"), prefix_rule)

@@ -114,7 +114,7 @@ def number_rows(df: DataFrame, by: list[str], ord: str, name: str) -> DataFrame:
     local = c("_row").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     numbered = placed.join(F.broadcast(offsets), "_part").withColumn("_rank", c("_offset") + local + 1)
     if by:
-        starts = numbered.groupBy(*by).agg(F.min("_rank").alias("_start"))
+        starts = cut_lineage(numbered.groupBy(*by).agg(F.min("_rank").alias("_start")))
         numbered = numbered.join(starts, by).withColumn("_rank", c("_rank") - c("_start") + 1)
     return numbered.select(*df.columns, c("_rank").cast("long").alias(name))
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from leadloom.functions import text as t
 from leadloom.operators import listing
 from leadloom.operators.params import params_from_table
-from leadloom.schema import as_records, record
+from leadloom.schema import RECORD_FIELDS, as_records, record
+from leadloom.session import cut_lineage
 
 
 def _with_order(df: DataFrame) -> DataFrame:
@@ -111,6 +112,17 @@ def records_from_pages(pages: DataFrame, source: str) -> DataFrame:
 
 
 def records_of_all(pages: DataFrame, sources: list[str]) -> DataFrame:
-    """Records of every listed source from pages that carry their source name."""
-    parts = [records_from_pages(pages.filter(F.col("source") == s).drop("source"), s) for s in sources]
-    return reduce(DataFrame.unionByName, parts)
+    """Records of every listed source from pages that carry their source name, numbered by source, then by place.
+
+    The records of all sources are written once and numbered, so that no two
+    of them share an ``ord``.
+    """
+    from leadloom.operators.serve import serial_number
+
+    parts = [
+        records_from_pages(pages.filter(F.col("source") == s).drop("source"), s).withColumn(
+            "_place", F.struct(F.lit(i).alias("source"), "ord", F.xxhash64(*RECORD_FIELDS).alias("row")))
+        for i, s in enumerate(sources)
+    ]
+    whole = cut_lineage(reduce(DataFrame.unionByName, parts).drop("ord"))
+    return serial_number(whole, "_place", "ord").select("ord", *RECORD_FIELDS)

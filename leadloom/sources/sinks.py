@@ -48,9 +48,16 @@ def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def upsert_by_key(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` replace rows of ``base`` with the same key."""
-    return base.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert_by_key(base: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows of ``new`` replace rows of ``base`` with the same key, one row per key.
+
+    Of several new rows with a key the last by ``order`` stays (without an
+    order, the one with the largest values).
+    """
+    rest = [c for c in new.columns if c not in keys]
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*(order or rest))).alias("_last")).select(
+        *keys, *[F.col(f"_last.`{c}`").alias(c) for c in rest]) if rest else new.distinct()
+    return base.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def _current(spark: SparkSession, path: str):
@@ -71,15 +78,25 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(current) if current else None
 
 
-def replace_snapshot(df: DataFrame, path: str) -> None:
+def _batch_of(current: str | None) -> int:
+    """Number of the last stream batch in a version, -1 if there was none: part of the name, so it is there with the data."""
+    return int(current.rsplit("/", 1)[1].split("-b")[1].split("-")[0]) - 1 if current else -1
+
+
+def last_batch(spark: SparkSession, path: str) -> int:
+    return _batch_of(_current(spark, path))
+
+
+def replace_snapshot(df: DataFrame, path: str, batch: int | None = None) -> None:
     """Write a new version next to the old one; readers see it once it is complete.
 
-    The old version stays readable, so ``df`` may be computed from it.
+    The old version stays readable, so ``df`` may be computed from it.  With
+    ``batch`` the version also says that it holds the stream up to that batch.
     """
-    spark = df.sparkSession
-    current = _current(spark, path)
+    current = _current(df.sparkSession, path)
     number = int(current.rsplit("/", 1)[1].split("-")[1]) + 1 if current else 0
-    df.write.parquet(f"{path}/v-{number:012d}-{uuid.uuid4().hex[:8]}")
+    done = (_batch_of(current) if batch is None else batch) + 1
+    df.write.parquet(f"{path}/v-{number:012d}-b{done}-{uuid.uuid4().hex[:8]}")
 
 
 def upsert_snapshot(new: DataFrame, path: str, keys: list[str]) -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,7 +10,8 @@ from leadloom.operators.resolve import exact_keys, merge_cluster
 from leadloom.operators.serve import latest_per_key
 from leadloom.plans.leads import prepared
 from leadloom.schema import RECORD_SCHEMA
-from leadloom.sources.sinks import read_snapshot, replace_snapshot, upsert_snapshot
+from leadloom.session import cut_lineage
+from leadloom.sources.sinks import last_batch, read_snapshot, replace_snapshot, upsert_snapshot
 
 _KEYS = ["name_key", "site_key", "mail_key"]
 
@@ -22,43 +21,32 @@ def record_stream(spark: SparkSession, folder: str, fmt: str = "json", files_per
     return spark.readStream.schema(RECORD_SCHEMA).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(folder)
 
 
-def merge_into_table(new: DataFrame, path: str) -> None:
+def merge_into_table(new: DataFrame, path: str, batch: int | None = None) -> None:
     """Merge prepared records into the stored table on the exact key.
 
     Only stored rows whose key occurs in the batch are merged again; the
-    others are taken over as they are.
+    others are taken over as they are.  The batch is prepared once and written.
+    With ``batch`` its number is committed in the same version as the data, and
+    a batch that is in the table already is left out.
     """
-    fresh = new.withColumns(exact_keys())
-    base = read_snapshot(new.sparkSession, path)
+    spark = new.sparkSession
+    if batch is not None and last_batch(spark, path) >= batch:
+        return
+    fresh = cut_lineage(new.withColumns(exact_keys()))
+    base = read_snapshot(spark, path)
     if base is None:
-        merged = merge_cluster(fresh, _KEYS).drop("n_records", "info_complete")
-        replace_snapshot(merged, path)
+        replace_snapshot(merge_cluster(fresh, _KEYS).drop("n_records"), path, batch)
         return
     touched = fresh.select(*_KEYS).distinct()
     again = base.join(touched, _KEYS, "left_semi").unionByName(fresh.select(*base.columns))
-    merged = merge_cluster(again, _KEYS).drop("n_records", "info_complete").select(*base.columns)
-    replace_snapshot(base.join(touched, _KEYS, "left_anti").unionByName(merged), path)
-
-
-def _once(path: str, batch_id: int, spark: SparkSession, work: Callable[[], None]) -> None:
-    """Run ``work`` unless this batch is already in the table at ``path``.
-
-    The marker is written after the data.  A batch repeated after a failure
-    in between is merged a second time; records are keyed and info texts
-    equal to what is there are left out, so only info notes could be doubled.
-    """
-    marks = read_snapshot(spark, f"{path}_batches")
-    if marks is not None and not marks.filter(F.col("batch_id") >= batch_id).isEmpty():
-        return
-    work()
-    replace_snapshot(spark.range(batch_id, batch_id + 1).toDF("batch_id"), f"{path}_batches")
+    merged = merge_cluster(again, _KEYS).drop("n_records").select(*base.columns)
+    replace_snapshot(base.join(touched, _KEYS, "left_anti").unionByName(merged), path, batch)
 
 
 def stream_uploads(records: DataFrame, path: str, checkpoint: str, threshold: str = fixed.MIN_QUALITY) -> StreamingQuery:
     """Run every arriving batch through the record steps and merge it into the stored table."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _once(path, batch_id, batch.sparkSession,
-              lambda: merge_into_table(prepared(batch, threshold), path))
+        merge_into_table(prepared(batch, threshold), path, batch_id)
 
     return (records.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

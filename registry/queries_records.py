@@ -330,12 +330,12 @@ def _(spark, sf):
 
 @query("dedupe_exact", f"SELECT n_records, {_COLS} FROM ({q.exact_merged('(' + q.cleaned(_ENTITY) + ')')})")
 def _(spark, sf):
-    return resolve.dedupe_exact(rec.clean_records(v.entity_records(spark, sf))).drop("info_complete")
+    return resolve.dedupe_exact(rec.clean_records(v.entity_records(spark, sf)))
 
 
 @query("dedupe_exact_pages", f"SELECT n_records, {_COLS} FROM ({q.exact_merged('(' + q.cleaned(_PAGE) + ')')})")
 def _(spark, sf):
-    return resolve.dedupe_exact(rec.clean_records(v.page_records(spark, sf))).drop("info_complete")
+    return resolve.dedupe_exact(rec.clean_records(v.page_records(spark, sf)))
 
 
 _CLUSTERED = f"(SELECT *, ord % 50 AS cluster FROM (SELECT * REPLACE (additional_info || ' ' || (ord % 3) AS additional_info) FROM {_ENTITY}))"
@@ -345,7 +345,7 @@ _CLUSTERED = f"(SELECT *, ord % 50 AS cluster FROM (SELECT * REPLACE (additional
 def _(spark, sf):
     noted = v.entity_records(spark, sf).withColumn(
         "additional_info", F.concat_ws(" ", "additional_info", (F.col("ord") % 3).cast("string")))
-    return resolve.merge_cluster(noted.withColumn("cluster", F.col("ord") % 50), ["cluster"], fold_chars=10_000_000).drop("info_complete")
+    return resolve.merge_cluster(noted.withColumn("cluster", F.col("ord") % 50), ["cluster"])
 
 
 _SEED_HOST = f"replace(replace({q.host('url')}, 'www.', ''), 'm.', '')"
@@ -558,9 +558,9 @@ def _(spark, sf):
     return serve.source_yield(v.table(spark, sf, "events"), "event_type", "user_id", F.col("value") < 1)
 
 
-@query("serial_number", "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS serial FROM orders WHERE o_custkey % 3 <> 0")
+@query("serial_number", "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS serial FROM orders")
 def _(spark, sf):
-    return serve.serial_number(v.table(spark, sf, "orders").filter("o_custkey % 3 <> 0").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return serve.serial_number(v.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
 
 
 # --- J: projection and sinks ----------------------------------------------
@@ -592,15 +592,16 @@ def _scratch(spark: SparkSession) -> str:
 
 
 @query("upsert_by_key", (
-    "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey % 2 = 0 AND o_orderkey % 5 <> 0"
-    " UNION ALL SELECT o_orderkey, 'X', o_totalprice + 1 FROM orders WHERE o_orderkey % 5 = 0"
+    "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 5 <> 0"
+    " UNION ALL SELECT o_orderkey, 'Y', o_totalprice + 2 FROM orders WHERE o_orderkey % 5 = 0"
 ))
 def _(spark, sf):
-    orders = v.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    base = orders.filter("o_custkey % 2 = 0").drop("o_custkey")
-    new = orders.filter("o_orderkey % 5 = 0").select(
-        "o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
-    return sinks.upsert_by_key(base, new, ["o_orderkey"])
+    base = v.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    # every new key comes twice: the later state is the one that stays
+    states = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("s")) for n, s in ((2, "Y"), (1, "X"))]))
+    new = base.filter("o_orderkey % 5 = 0").withColumn("state", states).select(
+        "o_orderkey", F.col("state.s").alias("o_orderstatus"), (F.col("o_totalprice") + F.col("state.n")).alias("o_totalprice"))
+    return sinks.upsert_by_key(base, new, ["o_orderkey"], ["o_totalprice"])
 
 
 @query("write_json", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
