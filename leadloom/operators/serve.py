@@ -81,7 +81,8 @@ def progress_percent(done: Column, total: Column) -> Column:
 
 def job_progress(steps: DataFrame, job: str, ord: str) -> DataFrame:
     """Progress of a job after each of its steps (5 at the start, 85 scraped, 100 done are set by the caller)."""
-    totals = steps.groupBy(job).agg(F.count("*").alias("total_steps"))
+    # written first: a join of plain shuffles can be split where a job is large
+    totals = cut_lineage(steps.groupBy(job).agg(F.count("*").alias("total_steps")))
     counted = number_rows(steps, [job], ord, "steps_done").join(totals, job)
     return counted.withColumn("progress", progress_percent(F.col("steps_done"), F.col("total_steps")))
 
