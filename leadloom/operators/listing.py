@@ -24,12 +24,13 @@ class Rule:
 
     cards: list[str]
     title: list[str]
-    cap: int
+    cap: int | None
     snippet: list[str] = field(default_factory=list)
     address: list[str] = field(default_factory=list)
     category: list[str] = field(default_factory=list)
     website: list[str] = field(default_factory=list)
     glue: str = " "
+    whole: bool = False  # read the card's whole text and its first link elsewhere, too
 
 
 _RESULT = ["div.result__body", "div.results_links_deep", "div.result"]
@@ -48,7 +49,7 @@ RULES = {
         ["li.cntanr", ".jdCard", ".resultbox_info", "[class*='store-details']", "div.jresult"],
         ["span.jcn a, .resultbox_title_anchor, .jdTitle a, .title a, h2.title, .fn.org, .store-name"], 15,
         address=["span.cont_fl_addr, .resultbox_address, .address, .adr"],
-        category=["span.cate, .resultbox_category, .cat_name"],
+        category=["span.cate, .resultbox_category, .cat_name"], whole=True,
     ),
     "linkedin": Rule(["div.result__body"], ["a.result__url, a.result__a, h2.result__title a"], 5, ["a.result__snippet"]),
     "linkedin_general": Rule(["div.result__body"], ["h2.result__title a"], 5, ["a.result__snippet"]),
@@ -69,7 +70,6 @@ RULES = {
         ["p, .tagline, .company-desc"], category=[".service-focus, .focus-areas, .categories"],
     ),
     "ddg_seeds": Rule(["div.result__body"], ["a.result__a, a.result__url"], 20),
-    "menu": Rule(["nav li"], ["a"], 1000),
 }
 LISTING_LINKS = [
     ".company-details h3 a", ".company-name-title a", ".prod-title a", "div.companyname a", "h2.companyname a",
@@ -94,35 +94,47 @@ SITE_ADDRESS = {
 SITE_CATEGORY = ".cat_name, .cate, [itemprop='description']"
 
 
-def listing_rows(pages: DataFrame, rule: Rule, id: str = "page_id") -> DataFrame:
-    """One row per card: pos, name, href, snippet, address, category, website, card_text.
+def card_rows(rule: Rule) -> Column:
+    """Array of the cards of a page whose elements are in ``nodes`` and ``texts``.
 
+    Made within the page row, so that no card carries the page's elements.
     Cards without a title element give no row but use up their place.
     """
+    nodes, texts = F.col("nodes"), F.col("texts")
+    cards = markup.first_selection(nodes, rule.cards)
+    if rule.cap is not None:
+        cards = F.slice(cards, 1, rule.cap)
+
+    def fields(card: Column, pos: Column, own: Column, title: Column) -> Column:
+        def one(selectors: list[str], glue: str = " ") -> Column:
+            if not selectors:
+                return F.lit("")
+            return t.bind(markup.select_one(own, selectors), lambda n: markup.text_of(texts, n, glue))
+
+        def outside() -> Column:
+            hrefs = F.transform(markup.select(own, "a[href]"), lambda a: a["href"])
+            return F.get(F.filter(hrefs, lambda h: h.startswith("http") & ~F.contains(h, F.lit("justdial.com"))), 0)
+
+        website = F.coalesce(markup.select_one(own, rule.website)["href"], F.lit("")) if rule.website else F.lit("")
+        return F.struct(
+            pos.alias("pos"), markup.text_of(texts, title, rule.glue).alias("name"),
+            F.coalesce(title["href"], F.lit("")).alias("href"), one(rule.snippet, rule.glue).alias("snippet"),
+            one(rule.address).alias("address"), one(rule.category).alias("category"), website.alias("website"),
+            (outside() if rule.whole else F.lit(None).cast("string")).alias("outside"),
+            (markup.text_of(texts, card) if rule.whole else F.lit("")).alias("card_text"))
+
+    def row(card: Column, pos: Column) -> Column:
+        return t.bind(markup.inside(nodes, card), lambda own: t.bind(
+            markup.select_one(own, rule.title), lambda title: F.when(title.isNotNull(), fields(card, pos, own, title))))
+
+    return F.filter(F.transform(cards, row), lambda r: r.isNotNull())
+
+
+def listing_rows(pages: DataFrame, rule: Rule) -> DataFrame:
+    """One row per card: pos, name, href, snippet, address, category, website, outside, card_text."""
     keep = [c for c in pages.columns if c != "html"]
-    nodes, texts, card = F.col("nodes"), F.col("texts"), F.col("card")
-    cards = F.slice(markup.first_selection(nodes, rule.cards), 1, rule.cap)
-    split = markup.with_elements(pages).select(*keep, "nodes", "texts", F.posexplode(cards).alias("pos", "card"))
-    split = split.withColumn("own", markup.inside(nodes, card))
-
-    def one(selectors: list[str], glue: str = " ") -> Column:
-        if not selectors:
-            return F.lit("")
-        return t.bind(markup.select_one(F.col("own"), selectors), lambda n: markup.text_of(texts, n, glue))
-
-    titled = split.withColumn("title", t.pinned(markup.select_one(F.col("own"), rule.title))).filter(F.col("title").isNotNull())
-    return titled.select(
-        *keep, "pos",
-        markup.text_of(texts, F.col("title"), rule.glue).alias("name"),
-        F.coalesce("title.href", F.lit("")).alias("href"),
-        one(rule.snippet, rule.glue).alias("snippet"), one(rule.address).alias("address"),
-        one(rule.category).alias("category"),
-        (F.coalesce(markup.select_one(F.col("own"), rule.website)["href"], F.lit("")) if rule.website else F.lit("")).alias(
-            "website"),
-        F.get(F.filter(F.transform(markup.select(F.col("own"), "a[href]"), lambda a: a["href"]),
-                       lambda h: h.startswith("http") & ~F.contains(h, F.lit("justdial.com"))), 0).alias("outside"),
-        markup.text_of(texts, card).alias("card_text"),
-    )
+    found = markup.with_elements(pages).select(*keep, t.pinned(card_rows(rule)).alias("cards"))
+    return found.select(*keep, F.inline("cards"))
 
 
 def _place(page: str = "page_id") -> Column:
@@ -246,25 +258,35 @@ def card_records(pages: DataFrame) -> DataFrame:
 
 def linkedin_records(pages: DataFrame) -> DataFrame:
     """Company profiles found over a search engine; pages without any give plain web results."""
-    rows = listing_rows(pages, RULES["linkedin"]).withColumn("href", t.unwrap_redirect(F.col("href")))
-    profiles = keep_first(
-        rows.filter(F.contains("href", F.lit("linkedin.com/company"))).withColumn("ord", _place()),
-        [F.col("page_id"), F.col("href")])
+    def shown(rule: str) -> Column:
+        return F.transform(card_rows(RULES[rule]), lambda r: r.withField("href", t.unwrap_redirect(r["href"])))
+
+    def firsts(rows: Column) -> Column:
+        """One row of each link, the first."""
+        hrefs = F.transform(rows, lambda r: r["href"])
+        return t.bind(hrefs, lambda known: F.filter(rows, lambda r, i: F.array_position(known, r["href"]) == i + 1))
+
+    keep = [c for c in pages.columns if c != "html"]
+    staged = markup.with_elements(pages).select(*keep, "nodes", "texts", t.pinned(
+        F.filter(shown("linkedin"), lambda r: F.contains(r["href"], F.lit("linkedin.com/company")))).alias("hits"))
+    is_profile = F.size("hits") > 0
+    chosen = staged.select(*keep, is_profile.alias("is_profile"), t.pinned(
+        F.when(is_profile, firsts(F.col("hits"))).otherwise(shown("linkedin_general"))).alias("cards"))
+    rows = chosen.select(*keep, "is_profile", F.inline("cards"))
     name = F.regexp_replace(F.col("name"), r"(?s) [|] LinkedIn.*$| - LinkedIn.*$", "")
     slug = t.py_title(F.replace(F.regexp_extract(t.url_path(F.col("href")), "([^/]*)$", 1), F.lit("-"), F.lit(" ")))
-    found = profiles.select(*record(
-        ord=_place(), company_name=t.first_filled(F.trim(name), slug), industry=F.lit("B2B LinkedIn Company"),
-        description=F.col("snippet"), source=F.lit("linkedin"),
-        additional_info=F.concat(F.lit("LinkedIn company profile: "), F.col("href")),
+
+    def either(profile: Column, general: Column) -> Column:
+        return F.when(F.col("is_profile"), profile).otherwise(general)
+
+    link = F.when(F.col("href").startswith("http"), F.col("href")).otherwise("")
+    return rows.select(*record(
+        ord=_place(), company_name=either(t.first_filled(F.trim(name), slug), F.col("name")),
+        industry=either(F.lit("B2B LinkedIn Company"), F.lit("")), website=either(F.lit(""), link), description=F.col("snippet"),
+        source=either(F.lit("linkedin"), F.lit("linkedin_general_search")),
+        additional_info=either(F.concat(F.lit("LinkedIn company profile: "), F.col("href")),
+                               F.concat(F.lit("Web search fallback for: "), F.col("query"))),
     ))
-    others = pages.join(profiles.select("page_id").distinct(), "page_id", "left_anti")
-    general = listing_rows(others, RULES["linkedin_general"]).withColumn("href", t.unwrap_redirect(F.col("href")))
-    return found.unionByName(general.select(*record(
-        ord=_place(), company_name=F.col("name"),
-        website=F.when(F.col("href").startswith("http"), F.col("href")).otherwise(""), description=F.col("snippet"),
-        source=F.lit("linkedin_general_search"),
-        additional_info=F.concat(F.lit("Web search fallback for: "), F.col("query")),
-    )))
 
 
 def searx_records(pages: DataFrame) -> DataFrame:

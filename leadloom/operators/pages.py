@@ -175,7 +175,7 @@ def profile_to_record(pages: DataFrame, source: str, id: str = "page_id", addres
 def name_candidates(pages: DataFrame, id: str = "page_id") -> DataFrame:
     """All confidence tiers of every page and the name that wins."""
     html = F.col("html")
-    tiers = pages.select(id, name_tiers(html).alias("tiers"))
+    tiers = pages.select(id, t.pinned(name_tiers(html)).alias("tiers"))
     best = F.coalesce(names.strip_name_noise(F.get("tiers", 0)["name"]), F.lit(""))
     return tiers.select(id, best.alias("best_name"), F.posexplode("tiers").alias("pos", "c")).select(
         id, "best_name", F.col("c.name").alias("name"), F.col("c.score").alias("score"))

@@ -28,15 +28,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return wanted
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` to a table in the shared checkpoint folder and continue from there.
 
     One pass over ``df``; what follows reads columns it needs from files that
-    outlive any executor, and sees their size when it chooses joins.
+    outlive any executor, and sees their size when it chooses joins.  With
+    columns ``by`` (few values) there is a folder for each of their values.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leadloom.functions import text as t
-from leadloom.operators import listing
+from leadloom.operators import knowledge, listing
 from leadloom.operators.params import params_from_table
 from leadloom.schema import RECORD_FIELDS, as_records, record
 from leadloom.session import cut_lineage
@@ -100,6 +100,8 @@ for _name, _mapper in {
     "goodfirms": listing.goodfirms_records,
     "searx": listing.searx_records,
     "direct_website": lambda pages: listing.website_records(pages, "direct_website"),
+    "google_places": lambda pages: knowledge.places_records(
+        pages.select(F.col("page_id").alias("ord"), "query", F.col("html").alias("answer"))),
 }.items():
     register_source(_name, _mapper)
 
@@ -114,13 +116,15 @@ def records_from_pages(pages: DataFrame, source: str) -> DataFrame:
 def records_of_all(pages: DataFrame, sources: list[str]) -> DataFrame:
     """Records of every listed source from pages that carry their source name, numbered by source, then by place.
 
-    The records of all sources are written once and numbered, so that no two
-    of them share an ``ord``.
+    The pages are read once and written by source; each source then reads and
+    parses its own folder only.  The records of all sources are written once
+    and numbered, so that no two of them share an ``ord``.
     """
     from leadloom.operators.serve import serial_number
 
+    stored = cut_lineage(pages.filter(F.col("source").isin(*sources)), "source")
     parts = [
-        records_from_pages(pages.filter(F.col("source") == s).drop("source"), s).withColumn(
+        records_from_pages(stored.filter(F.col("source") == s).drop("source"), s).withColumn(
             "_place", F.struct(F.lit(i).alias("source"), "ord", F.xxhash64(*RECORD_FIELDS).alias("row")))
         for i, s in enumerate(sources)
     ]

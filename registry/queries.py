@@ -426,7 +426,7 @@ def _(spark, sf):
     + ", lambda x: {'href': " + q.ext("x", r"href=\"([^\"]*)\"") + ", 'name': trim(" + q.ext("x", ">([^<]*)</a>") + ")}) AS l FROM pages)"
 ))
 def _(spark, sf):
-    return listing.listing_rows(v.pages(spark, sf), listing.RULES["menu"]).select("page_id", "pos", "name", "href")
+    return listing.listing_rows(v.pages(spark, sf), listing.Rule(["nav li"], ["a"], None)).select("page_id", "pos", "name", "href")
 
 
 _WRAPPED = (
