@@ -168,3 +168,36 @@ def test_blocked(spark):
     assert pg.usable_pages(page(spark, "x" * 500)).count() == 1
     assert pg.usable_pages(page(spark, "x" * 499)).count() == 0
     assert pg.usable_pages(page(spark, "x" * 600 + fixed.CAPTCHA_MARKERS[0])).count() == 0
+
+
+def test_cards_of_a_page_come_from_one_parse(spark):
+    for source in ("google", "linkedin", "justdial"):
+        plan = readers.records_from_pages(page(spark, RESULTS), source)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan, source
+
+
+def test_linkedin_profiles_once_per_link_else_general(spark):
+    again = '<div class="result__body"><a class="result__url" href="https://www.linkedin.com/company/blue-star">x</a></div>'
+    pages = page(spark, RESULTS + again).unionByName(
+        page(spark, RESULTS.replace("linkedin.com/company", "example.com/c")).withColumn("page_id", F.lit(2).cast("long")))
+    rows = readers.records_from_pages(pages, "linkedin").orderBy("ord").collect()
+    assert [(r["company_name"], r["source"]) for r in rows] == [
+        ("Blue Star", "linkedin"), ("Acme Pumps", "linkedin_general_search"), ("Blue Star | LinkedIn", "linkedin_general_search")]
+
+
+def test_empty_pages_and_no_pages(spark):
+    for html in ("", None, "<div class='result__body'></div>"):
+        made = spark.createDataFrame([(1, "q", "http://h.in", html)], "page_id long, query string, url string, html string")
+        for source in ("google", "linkedin", "clutch", "justdial", "google_places"):
+            assert readers.records_from_pages(made, source).count() == 0
+            assert readers.records_from_pages(made.limit(0), source).count() == 0
+
+
+def test_sources_of_a_run_read_their_own_pages(spark):
+    pages = page(spark, RESULTS).withColumn("source", F.lit("google")).unionByName(
+        page(spark, RESULTS).withColumn("source", F.lit("linkedin"))).unionByName(
+        page(spark, RESULTS).withColumn("source", F.lit(None).cast("string")))
+    rows = readers.records_of_all(pages, list(fixed.PLATFORMS)).orderBy("ord").collect()
+    assert [(r["company_name"], r["source"]) for r in rows] == [
+        ("Acme Pumps", "google"), ("Blue Star | LinkedIn", "google"), ("Blue Star", "linkedin")]
+    assert len({r["ord"] for r in rows}) == 3
