@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leadloom.functions import contacts, fixed, markup, text as t
 from leadloom.operators import pages as pg
-from leadloom.operators.enrich import merge_fill
+from leadloom.operators.enrich import one_per_key
 from leadloom.operators.resolve import dedupe_listing, keep_first
-from leadloom.schema import as_records, record
+from leadloom.schema import RECORD_FIELDS, as_records, record
 
 
 @dataclass(frozen=True)
@@ -341,17 +341,30 @@ def website_records(pages: DataFrame, source: str = "website") -> DataFrame:
     ))
 
 
-def with_profiles(records: DataFrame, profiles: DataFrame, source: str) -> DataFrame:
-    """Fill records from the profile page they point to (``source_url``, else ``website``)."""
-    target = t.first_filled(F.col("source_url"), F.col("website"))
-    known = profile_lookup(profiles, source)
-    return merge_fill(records.withColumn("profile_url", target), known, "profile_url").drop("profile_url")
+# fixed values: the sources that visit the page of a result, and how they name it
+PROFILE_LABELS = {"google": "Search", "maps": "Maps", "clutch": "Clutch", "goodfirms": "GoodFirms"}
 
 
-def profile_lookup(profiles: DataFrame, source: str) -> DataFrame:
-    rows = pg.profile_to_record(profiles, source)
-    first = keep_first(rows.withColumn("ord", F.col("page_id")), [F.col("url")])
-    return first.withColumnRenamed("url", "profile_url").drop("page_id", "ord")
+def with_profiles(records: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Fill what records lack from the page they point to (``source_url``, else ``website``).
+
+    ``profiles`` has page_id, url and html; of several pages with a url the
+    first by page_id counts.  Records of other sources, without a link or
+    without a page stay as they are.  For map results the page's address comes
+    before the snippet's.
+    """
+    info, from_map = F.col("additional_info"), F.col("source") == "maps"
+    label = F.create_map(*[F.lit(x) for pair in PROFILE_LABELS.items() for x in pair])[F.col("source")]
+    target = F.when(label.isNotNull(), t.some(t.first_filled(F.col("source_url"), F.col("website"))))
+    pages = pg.profile_to_record(profiles, "").withColumn("ord", F.col("page_id"))
+    fields = [f for f in RECORD_FIELDS if f not in ("source", "additional_info")]
+    known = one_per_key(pages, "url", fields)
+    joined = records.withColumn("_url", target).join(known, F.col("_url") == F.col("_key"), "left")
+    filled = {f: t.fill_missing(F.col(f), F.col(f"_x_{f}")) for f in fields}
+    filled["address"] = F.when(from_map, t.first_filled(F.col("_x_address"), F.col("address"))).otherwise(filled["address"])
+    filled["additional_info"] = F.concat_ws(
+        " | ", t.some(info), F.concat(label, F.lit(" profile: "), F.col("_key")))
+    return joined.select(*[filled.get(c, F.col(c)).alias(c) for c in records.columns])
 
 
 # --- seeds -----------------------------------------------------------------

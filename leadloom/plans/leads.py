@@ -51,16 +51,17 @@ def lead_table_basic(raw: DataFrame, prefix_rule: bool = True) -> DataFrame:
 
 
 def bulk_run(params: DataFrame, pages: DataFrame, sources: list[str], out: str,
-             threshold: str = fixed.MIN_QUALITY) -> DataFrame:
+             threshold: str = fixed.MIN_QUALITY, lookups: Lookups | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """Parameters to a stored table: expand, pick the fetched pages, extract, run, write.
 
     ``pages`` has page_id, query, source, url and html: what was fetched for
-    the work items.  Returns the finished table.
+    the work items; ``profiles`` (page_id, url, html) the pages of results that
+    were visited.  Returns the finished table.
     """
     items = work_items(build_queries(params), sources).select("query", "platform")
     wanted = pages.join(
         items.withColumnRenamed("platform", "source").distinct(), ["query", "source"], "left_semi")
-    replace_snapshot(lead_table(records_of_all(wanted, sources), threshold), f"{out}/companies")
+    replace_snapshot(lead_table(records_of_all(wanted, sources, profiles), threshold, lookups), f"{out}/companies")
     stored = read_snapshot(params.sparkSession, f"{out}/companies")
     write_json(stored, f"{out}/json")
     write_csv(stored, f"{out}/csv")

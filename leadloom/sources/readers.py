@@ -113,12 +113,13 @@ def records_from_pages(pages: DataFrame, source: str) -> DataFrame:
     return as_records(SOURCES[source](pages))
 
 
-def records_of_all(pages: DataFrame, sources: list[str]) -> DataFrame:
+def records_of_all(pages: DataFrame, sources: list[str], profiles: DataFrame | None = None) -> DataFrame:
     """Records of every listed source from pages that carry their source name, numbered by source, then by place.
 
     The pages are read once and written by source; each source then reads and
     parses its own folder only.  The records of all sources are written once
-    and numbered, so that no two of them share an ``ord``.
+    and numbered, so that no two of them share an ``ord``.  ``profiles``
+    (page_id, url, html) completes them from the pages they point to.
     """
     from leadloom.operators.serve import serial_number
 
@@ -129,4 +130,6 @@ def records_of_all(pages: DataFrame, sources: list[str]) -> DataFrame:
         for i, s in enumerate(sources)
     ]
     whole = cut_lineage(reduce(DataFrame.unionByName, parts).drop("ord"))
+    if profiles is not None:
+        whole = cut_lineage(listing.with_profiles(whole, profiles))
     return serial_number(whole, "_place", "ord").select("ord", *RECORD_FIELDS)

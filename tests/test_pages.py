@@ -201,3 +201,19 @@ def test_sources_of_a_run_read_their_own_pages(spark):
     assert [(r["company_name"], r["source"]) for r in rows] == [
         ("Acme Pumps", "google"), ("Blue Star | LinkedIn", "google"), ("Blue Star", "linkedin")]
     assert len({r["ord"] for r in rows}) == 3
+
+
+def test_results_completed_from_their_pages(spark):
+    results = page(spark, RESULTS).withColumn("source", F.lit("google")).unionByName(
+        page(spark, RESULTS).withColumn("source", F.lit("maps")))
+    html = "<meta name='description' content='Makers of pumps'><address>12 Hill Road Pune</address><p>sales@acme.in</p>"
+    visited = spark.createDataFrame(
+        [(5, "https://acme.in/", html), (6, "https://acme.in/", "<p>later</p>"), (7, None, html)], "page_id long, url string, html string")
+    rows = {(r["source"], r["website"]): r for r in readers.records_of_all(results, ["google", "maps"], visited).collect()}
+    assert len(rows) == 4
+    first = rows["google", "https://acme.in/"]
+    assert (first["email"], first["address"]) == ("info@acme.in", "12 Hill Road Pune")
+    assert first["additional_info"] == "DDG search result for: steel pune | Search profile: https://acme.in/"
+    assert rows["maps", "https://acme.in/"]["address"] == "12 Hill Road Pune"
+    assert rows["maps", "https://acme.in/"]["email"] == "sales@acme.in"
+    assert rows["google", "https://www.linkedin.com/company/blue-star"]["additional_info"] == "DDG search result for: steel pune"
