@@ -145,6 +145,29 @@ def test_lm_gradients_and_single_scoring():
     assert np.allclose(model.score(texts), [model.score([t])[0] for t in texts], rtol=1e-4)
 
 
+def test_lm_learns_from_every_id(spark):
+    rng, path, end = random.Random(4), tokens.word_tokenizer(), 1
+    texts = [" ".join(rng.choices(["alpha", "Beta", "gamma,", "delta", "unlikely-word"], k=n)) for n in (0, 3, 40, 700, 2500)]
+    made, shape = tokens.encoder(path), lm.Shape()
+    ids = [np.append(np.frombuffer(made.ids(t), "<u4").astype(np.int64), end) for t in texts]
+    flat, lengths = np.concatenate(ids), np.array([len(i) for i in ids])
+    vocabulary = lm.Vocabulary(np.bincount(flat, minlength=made.whole.get_vocab_size()), shape)
+    seen, wanted, inside, _ = lm.windows(flat, lengths, vocabulary, shape)
+    whole = (seen, vocabulary.classes[wanted], inside)
+    for stretch in (7, 20_000):
+        found = list(lm.training_data(texts, path, vocabulary, shape, end, stretch))
+        assert max(len(d[0]) for d in found) <= stretch
+        got = [np.concatenate(x) for x in zip(*found)]
+        assert (got[2] == inside).all() and inside.sum() == len(flat) and (got[1] == whole[1])[inside].all()
+        known = np.hstack([np.ones((len(seen), shape.context), bool), inside])  # what lies behind a text's end is never looked at
+        assert (got[0] == seen)[known].all()
+    weights = lm.initial(shape, vocabulary.log_class)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    learnt = lm._learn(frame, path, vocabulary, weights, shape, end, 0.02)
+    expected = lm.train(weights, whole, shape, 0.02)
+    assert all(np.allclose(learnt[k], expected[k], atol=1e-4) for k in expected)
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
