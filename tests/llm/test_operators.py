@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Row
 
@@ -168,6 +169,31 @@ def test_lm_learns_from_every_id(spark):
     assert all(np.allclose(learnt[k], expected[k], atol=1e-4) for k in expected)
 
 
+def test_lm_predicts_held_out_texts_better_than_shares_and_a_smaller_model():
+    path, end = tokens.word_tokenizer(), 1
+    made = tokens.encoder(path)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    ids = [np.append(np.frombuffer(made.ids(t), "<u4").astype(np.int64), end) for t in texts]
+    held = [i for n, i in enumerate(ids) if n % 7 == 2]
+    training = [t for n, t in enumerate(texts) if n % 7 != 2]
+    counts = np.bincount(np.concatenate([i for n, i in enumerate(ids) if n % 7 != 2]), minlength=made.whole.get_vocab_size())
+    n = sum(map(len, held))
+
+    def held_out(shape):
+        vocabulary = lm.Vocabulary(counts, shape)
+        weights = lm.initial(shape, vocabulary.log_class)
+        for rate in shape.rates:
+            for data in lm.training_data(training, path, vocabulary, shape, end):
+                weights = lm.train(weights, data, shape, rate)
+        return lm.Model(vocabulary, weights, shape, end).score(held).sum() / n
+
+    shares = np.log10((counts + 1) / (counts + 1).sum())[np.concatenate(held)].mean()
+    smaller = held_out(lm.Shape(own=40, context=8, scored=16, batch=128, passes=1, rates=(0.02, 0.01)))
+    whole = held_out(lm.Shape())
+    print(f"log10 an id, {n} held-out ids: shares {shares:.4f}, smaller {smaller:.4f}, model {whole:.4f}")
+    assert whole > shares + 0.2 and whole > smaller + 0.01
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
