@@ -31,60 +31,65 @@ SHARD_IDS = 2_000_000
 MARK_EVERY = 1024
 #: Symbols are stored in 16 bits: ids of the vocabulary and rules together.
 SYMBOLS = 1 << 16
-ROUNDS = 5
-_TABLE = 1 << 18
 
 
 # --- grammar -----------------------------------------------------------------
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def compress(ids: np.ndarray, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, left, right, base): the grammar of ``ids``.
 
-    Each round counts all neighbours by a hash, takes the most frequent
-    hashes, one pair for each, replaces the pairs from left to right, and so
-    works on a sequence that is shorter each time.  Ids at or above 2^16 are
-    kept as they are, without rules.
+    Each round counts all pairs of neighbours exactly and replaces, from left
+    to right, those that come at least half as often as the most frequent
+    one; a rule that overlaps leave with fewer than ``least`` / 2 places waits.
+    Rounds go on until no pair comes ``least`` times or all symbols of 16 bits
+    are in use; ids at or above 2^16 need 32 bits, and then rules have no limit.
     """
     symbols = ids.astype(np.uint32)
     base = int(ids.max(initial=0)) + 1
     left, right = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
-    made = 0
-    for step in range(rounds):
-        most = (SYMBOLS - base - made) // (rounds - step)
-        if most <= 0 or len(symbols) < 2 * least:
+    made, room = 0, SYMBOLS - base if base <= SYMBOLS else len(ids)
+    while made < room and len(symbols) > least:
+        pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+        ordered = np.sort(pairs)
+        edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
+        counts = np.diff(edges)
+        most = int(counts.max())
+        if most < least:
             break
-        a, b = symbols[:-1], symbols[1:]
-        slot = ((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519))) >> np.uint32(14)
-        counts = np.bincount(slot, minlength=_TABLE)
-        chosen = np.argpartition(counts, -min(most, _TABLE - 1))[-most:]
-        chosen = chosen[counts[chosen] >= least]
-        if not len(chosen):
-            break
-        number = np.full(_TABLE, -1, np.int32)
-        number[chosen] = np.arange(len(chosen))
-        at = np.flatnonzero(number[slot] >= 0)
-        rule = number[slot[at]]
-        pair = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
-        owner = np.zeros(len(chosen), np.uint64)
-        owner[rule] = pair  # of the pairs with one hash, one gets the rule
-        mine = owner[rule] == pair
-        at, rule = at[mine], rule[mine]
-        first = np.ones(len(at), bool)
-        first[1:] = np.diff(at) > 1
-        run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        free = (np.arange(len(at)) - run) % 2 == 0  # neighbours in a run overlap: every other one
-        at, rule = at[free], rule[free]
-        used, rule = np.unique(rule, return_inverse=True)
+        chosen = np.flatnonzero(counts >= max(least, most // 2))
+        chosen = chosen[np.argsort(-counts[chosen], kind="stable")][: room - made]
+        at, rule, owner = _places(pairs, np.sort(ordered[edges[chosen]]))
+        enough = np.bincount(rule, minlength=len(owner)) >= max(1, least // 2)
+        if not enough.any():  # overlaps took them all: the most frequent pair alone
+            at, rule, owner = _places(pairs, ordered[edges[chosen[:1]]])
+            enough = np.ones(1, bool)
+        stay = enough[rule]
+        at, rule = at[stay], (np.cumsum(enough) - 1)[rule[stay]]
         symbols[at] = (base + made + rule).astype(np.uint32)
         stays = np.ones(len(symbols), bool)
         stays[at + 1] = False
         symbols = symbols[stays]
-        left.append((owner[used] >> np.uint64(32)).astype(np.uint32))
-        right.append((owner[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        made += len(used)
+        left.append((owner[enough] >> np.uint64(32)).astype(np.uint32))
+        right.append((owner[enough] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        made += int(enough.sum())
     return symbols, np.concatenate(left), np.concatenate(right), base
 
 
+def _places(pairs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the pairs of ``owner`` (ascending) are replaced, and by which: of neighbours in a run, which overlap, every other one."""
+    begins = np.zeros(int(pairs.max() >> np.uint64(32)) + 1, bool)
+    begins[owner >> np.uint64(32)] = True
+    at = np.flatnonzero(begins[pairs >> np.uint64(32)])  # few are looked up
+    number = np.minimum(np.searchsorted(owner, pairs[at]), len(owner) - 1)
+    same = owner[number] == pairs[at]
+    at, number = at[same], number[same]
+    first = np.ones(len(at), bool)
+    first[1:] = np.diff(at) > 1
+    run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+    free = (np.arange(len(at)) - run) % 2 == 0
+    return at[free], number[free], owner
+
+
 def sizes_of(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
     """Expansion length of each rule; rules only use symbols made before them."""
     sizes = np.ones(len(left), np.int64)

@@ -385,6 +385,16 @@ def test_grammar_gives_any_range_back(n, top):
         assert len(shard.symbols) < n / 2
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(5)
+    phrases = [rng.integers(0, 3000, 70) for _ in range(60)]
+    for shift in (0, 70_000):
+        ids = np.concatenate([phrases[i] for i in rng.integers(0, 60, 3000)]).astype(np.uint32) + np.uint32(shift)
+        symbols, left, right, base = idfiles.compress(ids)
+        assert (idfiles.expand(symbols, left, right, base) == ids).all()
+        assert max(Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist())).values()) < 24
+
+
 def brute_lines(rows, least_documents, keep_first=False):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
     held = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")} if k)
