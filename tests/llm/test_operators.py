@@ -146,6 +146,23 @@ def test_lm_gradients_and_single_scoring():
     assert np.allclose(model.score(texts), [model.score([t])[0] for t in texts], rtol=1e-4)
 
 
+def test_lm_score_equals_a_plain_loop():
+    shape, rng = lm.Shape(), np.random.default_rng(8)
+    vocabulary = lm.Vocabulary(rng.integers(0, 50, 900), shape)
+    p = {k: x + 0.3 * rng.standard_normal(x.shape) for k, x in lm.initial(shape, vocabulary.log_class).items()}
+    text = rng.integers(0, 900, 2 * shape.scored + 5)
+    total = 0.0
+    for place, wanted in enumerate(text):
+        first = place // shape.scored * shape.scored - shape.context
+        seen = [p["embed"][vocabulary.inputs[text[i - 1]] if i > 0 else vocabulary.start] for i in range(first, place + 1)]
+        query = seen[-1] @ p["query"] / math.sqrt(shape.width)
+        weights = [math.exp(query @ (x @ p["key"]) + p["near"][len(seen) - 1 - i]) for i, x in enumerate(seen)]
+        attended = sum(w * (x @ p["value"]) for w, x in zip(weights, seen)) / sum(weights)
+        classes = (seen[-1] + attended @ p["mix"]) @ p["out"] + p["bias"]
+        total += classes[vocabulary.classes[wanted]] - math.log(sum(map(math.exp, classes))) + vocabulary.log_share[wanted]
+    assert lm.Model(vocabulary, p, shape, 1).score([text])[0] == pytest.approx(total / math.log(10), rel=1e-5)
+
+
 def test_lm_learns_from_every_id(spark):
     rng, path, end = random.Random(4), tokens.word_tokenizer(), 1
     texts = [" ".join(rng.choices(["alpha", "Beta", "gamma,", "delta", "unlikely-word"], k=n)) for n in (0, 3, 40, 700, 2500)]
