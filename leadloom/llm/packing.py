@@ -39,16 +39,19 @@ Room = tuple[int, list[tuple[int, int]]]  # so many sequences, each with (length
 
 # --- the plan, from counts by length -------------------------------------------
 
-def configurations(sizes: list[int], wanted: list[int], capacity: int, most_steps: int = 400) -> list[tuple[float, np.ndarray]]:
-    """Linear program min sum x, A x = wanted, over ways to fill a sequence with sizes: (x, column) of a good solution.
+def configurations(sizes: list[int], wanted: list[int], capacity: int) -> list[tuple[float, np.ndarray]]:
+    """Linear program min sum x, A x = wanted, over ways to fill a sequence with sizes: (x, column) of the best solution.
 
-    The step limit only ends the search early: any basis fills the demand.
+    Steps go on until no way to fill a sequence has a reduced cost below
+    zero.  The demand is a little uneven while they do, so that no step stays
+    in place and the search cannot run in circles.
     """
     k = len(sizes)
     basis = np.diag([capacity // s for s in sizes]).astype(float)
     demand = np.array(wanted, float)
+    uneven = demand + 1e-4 * (1 + np.modf(np.arange(1, k + 1) * 0.6180339887498949)[0])
     room = np.arange(capacity + 1)
-    for _ in range(most_steps):
+    while True:
         prices = np.linalg.solve(basis.T, np.ones(k))
         best = np.zeros(capacity + 1)
         chosen = np.full((capacity // min(sizes) + 1, capacity + 1), -1)
@@ -69,7 +72,7 @@ def configurations(sizes: list[int], wanted: list[int], capacity: int, most_step
             if (i := chosen[step][at]) >= 0:
                 column[i] += 1
                 at -= sizes[i]
-        have, moved = np.linalg.solve(basis, demand), np.linalg.solve(basis, column)
+        have, moved = np.linalg.solve(basis, uneven), np.linalg.solve(basis, column)
         ratio = np.where(moved > 1e-9, have / np.where(moved > 1e-9, moved, 1), np.inf)
         if not np.isfinite(ratio).any():
             break
@@ -258,7 +261,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     salted = found.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     by_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
-    by_salt = F.broadcast(by_salt.select("length", "salt", before.alias("before")))  # at most capacity x salts rows
+    by_salt = by_salt.select("length", "salt", before.alias("before"))
     number = F.row_number().over(W.partitionBy("length", "salt").orderBy(*order)) - 1
     numbered = salted.withColumn("number", number).join(by_salt, ["length", "salt"]).withColumn("number", F.col("number") + F.col("before"))
     i = F.col("number") - F.col("first")

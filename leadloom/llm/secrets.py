@@ -150,8 +150,8 @@ def trigram_index(documents: DataFrame, trigrams: list[str], block_rows: int = 5
     Rows with a null id are not indexed.
     """
     blocks = max(1, -(-documents.count() // block_rows))
-    low = F.lower(F.col("text"))
-    found = F.filter(F.array(*map(F.lit, trigrams)), lambda g: F.contains(low, g))
+    # the lower text is bound by the outer transform: a lambda's body runs for each trigram, and `lower` with it
+    found = F.flatten(F.transform(F.array(F.lower("text")), lambda low: F.filter(F.array(*map(F.lit, trigrams)), lambda g: F.contains(low, g))))
     rows = documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return (
         rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), F.explode(found).alias("trigram"))

@@ -361,6 +361,18 @@ def test_packing_places_every_id(spark, docs):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_plan_is_near_the_optimum_where_best_fit_is_not():
+    rng = random.Random(0)
+    counts = Counter()
+    for _ in range(1500):  # triples that fill a sequence exactly
+        a, b = rng.randint(1030, 1500), rng.randint(1030, 1500)
+        counts.update([a, b, 4096 - a - b])
+    n = sum(n for n, _ in packing.plan(counts))
+    assert 1500 <= n <= 1515 < 1640 <= sum(n for n, _ in packing._best_fit([], counts, 4096))
+    halves = Counter({1024 + i: 500 for i in range(100)} | {3072 - i: 500 for i in range(100)})
+    assert sum(n for n, _ in packing.plan(halves)) <= 50_000 * 1.01
+
+
 @pytest.mark.parametrize("seed", range(25))
 def test_plans_use_every_piece(seed):
     rng = random.Random(seed)
