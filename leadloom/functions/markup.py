@@ -2,23 +2,30 @@
 
 ``with_elements`` turns the html of a page into an array of elements in
 document order.  An element knows its position, the position of its last
-descendant, its path from the root and the span of visible text pieces it
-covers, so that "inside this card" is an integer comparison and a selector is
-a pattern over the path.  Everything after this one step is column
-expressions; nothing is shuffled, because a page stays one row.
+descendant, its own step (tag, classes, itemprop) and the span of visible
+text pieces it covers.  "Inside this card" and "below that element" are
+integer comparisons, a selector is a pattern for each of its steps: what an
+element stores does not grow with its depth, and there is no limit to that.
+Everything after this one step is column expressions; nothing is shuffled,
+because a page stays one row.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Callable
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from leadloom.functions.text import bind
+
 _NODE = T.StructType(
     [T.StructField(n, T.IntegerType()) for n in ("i", "last")]
-    + [T.StructField(n, T.StringType()) for n in ("tag", "path", "href")]
+    + [T.StructField(n, T.StringType()) for n in ("tag", "step", "href")]
     + [T.StructField(n, T.IntegerType()) for n in ("t0", "t1")]
 )
 ELEMENTS_TYPE = T.StructType(
@@ -33,7 +40,6 @@ _BLOCK = set(
 _SIBLINGS = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "dt": {"dt", "dd"},
              "dd": {"dt", "dd"}, "option": {"option"}}
 _SCOPES = set("ul ol table dl select".split())
-MAX_DEPTH = 256  # deeper elements become siblings, the usual parser limit
 
 
 class _Elements(HTMLParser):
@@ -42,36 +48,36 @@ class _Elements(HTMLParser):
         self.nodes: list[dict] = []
         self.texts: list[str] = []
         self.open: list[dict] = []
+        self.depths: defaultdict[str, list[int]] = defaultdict(list)  # where elements of a tag are open, so that none is searched
 
     def _close_to(self, depth: int) -> None:
         while len(self.open) > depth:
             node = self.open.pop()
+            self.depths[node["tag"]].pop()
             node["last"], node["t1"] = len(self.nodes) - 1, len(self.texts)
 
+    def _deepest(self, tags) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=-1)
+
     def _close_implied(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.open[depth]["tag"]
-            if name in _SIBLINGS.get(tag, ()) or (name == "p" and tag in _BLOCK):
-                return self._close_to(depth)
-            if name in _SCOPES:
-                return None
+        ended = _SIBLINGS.get(tag, set()) | ({"p"} if tag in _BLOCK else set())
+        if ended and (depth := self._deepest(ended)) > self._deepest(_SCOPES):
+            self._close_to(depth)
 
     def handle_starttag(self, tag, attrs):
         self._close_implied(tag)
-        self._close_to(MAX_DEPTH)
         attr = {k: v or "" for k, v in reversed(attrs)}
         step = ".".join([tag, *attr.get("class", "").split(), *(["@" + attr["itemprop"]] if attr.get("itemprop") else []), ""])
-        path = (self.open[-1]["path"] + " " if self.open else "") + step
         here, texts = len(self.nodes), len(self.texts)
-        node = dict(i=here, last=here, tag=tag, path=path, href=attr.get("href"), t0=texts, t1=texts)
+        node = dict(i=here, last=here, tag=tag, step=step, href=attr.get("href"), t0=texts, t1=texts)
         self.nodes.append(node)
         if tag not in _VOID:
+            self.depths[tag].append(len(self.open))
             self.open.append(node)
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth]["tag"] == tag:
-                return self._close_to(depth)
+        if self.depths.get(tag):
+            self._close_to(self.depths[tag][-1])
 
     def handle_data(self, data):
         piece = data.strip()
@@ -98,43 +104,59 @@ def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
     return parsed.select(*[c for c in pages.columns if c != html], "_page.nodes", "_page.texts")
 
 
-# --- selectors as path patterns -------------------------------------------
+# --- selectors -------------------------------------------------------------
 
 _STEP = re.compile(r"([a-z][a-z0-9]*)?((?:\.[\w-]+)*)((?:\[[^\]]+\])*)")
 
 
-def _step_pattern(step: str) -> tuple[str, str]:
+def _step_test(step: str) -> Callable[[Column], Column]:
+    """Does an element fit one step of a selector, whatever is around it?"""
     tag, classes, attributes = _STEP.fullmatch(step).groups()
     ahead = "".join(rf"(?=[^ ]*\.{re.escape(c)}\.)" for c in classes.split(".") if c)
-    href = ""
+    hrefs: list[Callable[[Column], Column]] = []
     for name, op, value in re.findall(r"\[([a-z]+)(\*?=)?'?([^'\]]*)'?\]", attributes):
         if name == "class":
             ahead += rf"(?=[^ .]+\.(?:[^ .@]+\.)*[^ .@]*{re.escape(value)})"
         elif name == "itemprop":
             ahead += rf"(?=[^ ]*\.@{re.escape(value)}\.)"
+        elif name == "href" and op:
+            hrefs.append(lambda n, v=value: F.contains(F.coalesce(n["href"], F.lit("")), F.lit(v)))
         elif name == "href":
-            href = value if op else "*"
-    return rf"{ahead}{tag or '[^ .]+'}\.[^ ]*", href
+            hrefs.append(lambda n: n["href"].isNotNull())
+    pattern = rf"^{ahead}{tag or '[^ .]+'}\.[^ ]*$"
+    return lambda n: reduce(Column.__and__, [test(n) for test in hrefs], n["step"].rlike(pattern))
+
+
+def below(node: Column, outer: Column) -> Column:
+    """Is the element inside one of ``outer``?"""
+    return F.exists(outer, lambda o: (node["i"] > o["i"]) & (node["i"] <= o["last"]))
 
 
-def matches(node: Column, selector: str) -> Column:
-    """Does the element match the selector (descendant steps, comma alternatives)?"""
-    out = F.lit(False)
-    for alternative in selector.split(","):
-        steps = [_step_pattern(s) for s in alternative.split()]
-        pattern = "(?:^| )" + "(?: [^ ]+)* ".join(p for p, _ in steps) + "$"
-        hit = node["path"].rlike(pattern)
-        href = steps[-1][1]
-        if href == "*":
-            hit = hit & node["href"].isNotNull()
-        elif href:
-            hit = hit & F.contains(F.coalesce(node["href"], F.lit("")), F.lit(href))
-        out = out | hit
-    return out
+def select(nodes: Column, selector: str, page: Column | None = None) -> Column:
+    """The elements of ``nodes`` that match a selector (descendant steps, comma alternatives), in their order.
 
+    The elements around them are looked up in ``page`` (all elements of the
+    page, or ``around_and_inside``), where ``nodes`` are only some of them.  Each step keeps the elements
+    that fit it and lie below one that the steps before kept; these are found
+    once for all elements.
+    """
+    page = nodes if page is None else page
+    chains = [[_step_test(s) for s in alternative.split()] for alternative in selector.split(",")]
 
-def select(nodes: Column, selector: str) -> Column:
-    return F.filter(nodes, lambda n: matches(n, selector))
+    def kept(chain: list, use: Callable[[Column | None], Column], outer: Column | None = None) -> Column:
+        """``use`` with the elements that the steps of ``chain`` but the last one keep."""
+        if len(chain) == 1:
+            return use(outer)
+        found = F.filter(page, lambda n: chain[0](n) if outer is None else chain[0](n) & below(n, outer))
+        return bind(found, lambda hits: kept(chain[1:], use, hits))
+
+    def union(left: list, tests: list) -> Column:
+        if left:
+            last = left[0][-1]
+            return kept(left[0], lambda outer: union(left[1:], [*tests, lambda n: last(n) if outer is None else last(n) & below(n, outer)]))
+        return F.filter(nodes, lambda n: reduce(Column.__or__, [test(n) for test in tests]))
+
+    return union(chains, [])
 
 
 def first_selection(nodes: Column, selectors: list[str]) -> Column:
@@ -149,9 +171,14 @@ def inside(nodes: Column, outer: Column) -> Column:
     return F.filter(nodes, lambda n: (n["i"] > outer["i"]) & (n["i"] <= outer["last"]))
 
 
-def select_one(nodes: Column, selectors: list[str]) -> Column:
+def around_and_inside(nodes: Column, node: Column) -> Column:
+    """An element, those around it and those inside: all that a selector over what is inside can ask for."""
+    return F.filter(nodes, lambda n: ((n["i"] <= node["i"]) & (n["last"] >= node["last"])) | ((n["i"] > node["i"]) & (n["i"] <= node["last"])))
+
+
+def select_one(nodes: Column, selectors: list[str], page: Column | None = None) -> Column:
     """First element, in document order, of the first selector that finds any; null if none does."""
-    return F.coalesce(*[F.get(select(nodes, s), 0) for s in selectors])
+    return F.coalesce(*[F.get(select(nodes, s, page), 0) for s in selectors])
 
 
 def ancestor(nodes: Column, node: Column, test) -> Column:

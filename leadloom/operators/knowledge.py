@@ -15,7 +15,7 @@ def table_rows(pages: DataFrame, id: str = "page_id") -> DataFrame:
     nodes, texts = F.col("nodes"), F.col("texts")
     rows = F.transform(markup.select(nodes, "table tbody tr"), lambda tr: F.struct(
         F.transform(markup.select(markup.inside(nodes, tr), "td"), lambda td: markup.text_of(texts, td, "")).alias("cells"),
-        F.transform(markup.select(markup.inside(nodes, tr), "td a[href]"), lambda a: a["href"]).alias("links"),
+        F.transform(markup.select(markup.inside(nodes, tr), "td a[href]", markup.around_and_inside(nodes, tr)), lambda a: a["href"]).alias("links"),
     ))
     found = markup.with_elements(pages.select(id, "html")).select(id, F.posexplode(rows).alias("row", "r"))
     return found.select(id, "row", "r.cells", "r.links")

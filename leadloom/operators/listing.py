@@ -105,17 +105,17 @@ def card_rows(rule: Rule) -> Column:
     if rule.cap is not None:
         cards = F.slice(cards, 1, rule.cap)
 
-    def fields(card: Column, pos: Column, own: Column, title: Column) -> Column:
+    def fields(card: Column, pos: Column, near: Column, own: Column, title: Column) -> Column:
         def one(selectors: list[str], glue: str = " ") -> Column:
             if not selectors:
                 return F.lit("")
-            return t.bind(markup.select_one(own, selectors), lambda n: markup.text_of(texts, n, glue))
+            return t.bind(markup.select_one(own, selectors, near), lambda n: markup.text_of(texts, n, glue))
 
         def outside() -> Column:
             hrefs = F.transform(markup.select(own, "a[href]"), lambda a: a["href"])
             return F.get(F.filter(hrefs, lambda h: h.startswith("http") & ~F.contains(h, F.lit("justdial.com"))), 0)
 
-        website = F.coalesce(markup.select_one(own, rule.website)["href"], F.lit("")) if rule.website else F.lit("")
+        website = F.coalesce(markup.select_one(own, rule.website, near)["href"], F.lit("")) if rule.website else F.lit("")
         return F.struct(
             pos.alias("pos"), markup.text_of(texts, title, rule.glue).alias("name"),
             F.coalesce(title["href"], F.lit("")).alias("href"), one(rule.snippet, rule.glue).alias("snippet"),
@@ -124,8 +124,8 @@ def card_rows(rule: Rule) -> Column:
             (markup.text_of(texts, card) if rule.whole else F.lit("")).alias("card_text"))
 
     def row(card: Column, pos: Column) -> Column:
-        return t.bind(markup.inside(nodes, card), lambda own: t.bind(
-            markup.select_one(own, rule.title), lambda title: F.when(title.isNotNull(), fields(card, pos, own, title))))
+        return t.bind(markup.around_and_inside(nodes, card), lambda near: t.bind(markup.inside(near, card), lambda own: t.bind(
+            markup.select_one(own, rule.title, near), lambda title: F.when(title.isNotNull(), fields(card, pos, near, own, title)))))
 
     return F.filter(F.transform(cards, row), lambda r: r.isNotNull())
 
@@ -376,14 +376,14 @@ def _seed(url: Column, source: str, confidence: float) -> Column:
 def listing_seeds(pages: DataFrame) -> DataFrame:
     """Company and website seeds of a directory listing; the page's phone and address go to its last seed."""
     nodes, texts = F.col("nodes"), F.col("texts")
-    class_test = rf"(?i)(?:^| )[^ .]+\.(?:[^ .@]+\.)*[^ .@]*(?:{LISTING_CARD_CLASS})[^ .@]*\.[^ ]*$"
+    class_test = rf"(?i)^[^ .]+\.(?:[^ .@]+\.)*[^ .@]*(?:{LISTING_CARD_CLASS})[^ .@]*\.[^ ]*$"
 
     def seeds_of(link: Column) -> Column:
         href = F.when(link["href"].startswith("/"), F.concat(F.lit("https://www.indiamart.com"), link["href"])).otherwise(
             link["href"])
         good = (F.length(markup.text_of(texts, link, "")) >= 3) & href.startswith("http") & F.contains(
             F.lower(href), F.lit("indiamart.com"))
-        around = markup.ancestor(nodes, link, lambda p: p["path"].rlike(class_test))
+        around = markup.ancestor(nodes, link, lambda p: p["step"].rlike(class_test))
         outside = F.filter(
             F.transform(markup.select(markup.inside(nodes, around), "a[href]"), lambda a: a["href"]),
             lambda h: h.startswith("http") & ~F.contains(F.lower(h), F.lit("indiamart")))
@@ -438,7 +438,8 @@ def card_seeds(pages: DataFrame) -> DataFrame:
     nodes, texts = F.col("nodes"), F.col("texts")
 
     def seeds_of(card: Column) -> Column:
-        own = markup.inside(nodes, card)
+        near = markup.around_and_inside(nodes, card)
+        own = markup.inside(near, card)
 
         def from_name(name: Column) -> Column:
             link = markup.ancestor(nodes, name, lambda p: p["tag"] == "a")["href"]
@@ -450,7 +451,7 @@ def card_seeds(pages: DataFrame) -> DataFrame:
             some = F.filter(both, lambda s: F.coalesce(s["url"], F.lit("")) != "")
             return F.when(F.length(markup.text_of(texts, name, "")) >= 3, some)
 
-        return t.bind(F.get(markup.select(own, SEED_NAME), 0), from_name)
+        return t.bind(F.get(markup.select(own, SEED_NAME, near), 0), from_name)
 
     cards = markup.first_selection(nodes, SEED_CARDS)
     none = F.slice(F.array(_seed(F.lit(""), "", 0.0)), 1, 0)

@@ -202,17 +202,17 @@ def _block_texts(tags: list[str]) -> Column:
     nodes, texts = F.col("nodes"), F.col("texts")
     blocks = F.filter(nodes, lambda n: n["tag"].isin(tags) & (n["t1"] > n["t0"]))
     return F.transform(blocks, lambda n: F.struct(
-        n["tag"].alias("tag"), n["path"].alias("path"), t.squeeze(markup.text_of(texts, n)).alias("text")))
+        n["tag"].alias("tag"), n["step"].alias("step"), t.squeeze(markup.text_of(texts, n)).alias("text")))
 
 
 def address_blocks() -> Column:
     """Addresses of a page whose elements are in ``nodes`` and ``texts``."""
     words = "|".join(fixed.ADDRESS_CLASS_WORDS)
-    in_class = rf"(?i)(?:^| )[^ .]+\.(?:[^ .@]+\.)*[^ .@]*(?:{words})[^ .@]*\.[^ ]*$"
+    in_class = rf"(?i)^[^ .]+\.(?:[^ .@]+\.)*[^ .@]*(?:{words})[^ .@]*\.[^ ]*$"
     hits = F.filter(
         _block_texts(["address", "p", "div", "span", "li"]),
         lambda b: (b["text"] != "")
-        & ((b["tag"] == "address") | b["path"].rlike(in_class) | b["text"].rlike(t.unicode_i(fixed.ADDRESS_PATTERN))),
+        & ((b["tag"] == "address") | b["step"].rlike(in_class) | b["text"].rlike(t.unicode_i(fixed.ADDRESS_PATTERN))),
     )
     return _distinct_first(F.transform(hits, lambda b: b["text"]))
 

@@ -217,3 +217,37 @@ def test_results_completed_from_their_pages(spark):
     assert rows["maps", "https://acme.in/"]["address"] == "12 Hill Road Pune"
     assert rows["maps", "https://acme.in/"]["email"] == "sales@acme.in"
     assert rows["google", "https://www.linkedin.com/company/blue-star"]["additional_info"] == "DDG search result for: steel pune"
+
+
+def test_a_card_lies_at_any_depth(spark):
+    from leadloom.functions import markup
+    from leadloom.operators import listing
+
+    deep = "<div>" * 1000 + "<li class='b_algo'><h2 id='x'><a href='https://deep.example/'>Deep <b>Works</b></a></h2><p>Far down</p></li>" + "</div>" * 1000
+    nested = "<p>one<div class='s'>" + "<ul><li>" * 400 + "<a href='/x'>link</a>" + "</li></ul>" * 400 + "</div>"
+    pages = spark.createDataFrame([(1, "q", "u", deep), (2, "q", "u", nested)], "page_id long, query string, url string, html string")
+    cards = listing.listing_rows(pages, listing.RULES["discovery"]).collect()
+    assert [(r.page_id, r.name, r.href, r.snippet) for r in cards] == [(1, "Deep Works", "https://deep.example/", "Far down")]
+    from pyspark.sql import functions as F
+
+    found = markup.with_elements(pages.filter("page_id = 2")).select(
+        F.size(markup.select(F.col("nodes"), "div.s ul li a[href]")).alias("hit"), F.size(markup.select(F.col("nodes"), "p a")).alias("miss"),
+        F.transform(markup.select(F.col("nodes"), "div li ul li"), lambda n: n["i"]).alias("inner")).first()
+    assert (found.hit, found.miss, len(found.inner)) == (1, 0, 399)
+
+
+def test_selectors_ask_around_the_elements_they_get(spark):
+    from leadloom.functions import markup
+    from pyspark.sql import functions as F
+
+    html = "<div class='a'><section class='b'><a class='t' href='1'>x</a><p class='b'><a href='2'>y</a></p></section></div><a href='3'>z</a>"
+    nodes = F.col("nodes")
+    page = markup.with_elements(spark.createDataFrame([(html,)], "html string"))
+
+    def hrefs(selector, outer=None):
+        own = nodes if outer is None else markup.inside(nodes, F.get(markup.select(nodes, outer), 0))
+        return page.select(F.transform(markup.select(own, selector, nodes), lambda n: n["href"]).alias("x")).first().x
+
+    assert hrefs("div.a a") == ["1", "2"] and hrefs("a") == ["1", "2", "3"] and hrefs(".a .b a[href]") == ["1", "2"]
+    assert hrefs("section p.b a, a[href='3'], a.t") == ["1", "2", "3"] and hrefs("a[href*='3'], p a") == ["2", "3"]
+    assert hrefs("div.a a", "section") == ["1", "2"] and hrefs("p a", "section") == ["2"] and hrefs("p p a") == []
