@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadloom.functions import fixed, text as t
 from leadloom.operators.serve import serial_number
+from leadloom.session import cut_lineage
+from leadloom.sources.buckets import change_table, clear_table, read_table
 
 OUTPUT_NAMES = [name for name, _ in fixed.OUTPUT_COLUMNS]
 
@@ -60,60 +61,33 @@ def upsert_by_key(base: DataFrame, new: DataFrame, keys: list[str], order: list[
     return base.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
-def _current(spark: SparkSession, path: str):
-    """Newest complete version of a table folder, or None."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = sorted(s.getPath().getName() for s in fs.listStatus(root)
-                  if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS")))
-    return f"{path}/{done[-1]}" if done else None
-
-
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table as its last finished write left it."""
-    current = _current(spark, path)
-    return spark.read.parquet(current) if current else None
+    """The served table as the last finished run left it; None before the first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
-def _batch_of(current: str | None) -> int:
-    """Number of the last stream batch in a version, -1 if there was none: part of the name, so it is there with the data."""
-    return int(current.rsplit("/", 1)[1].split("-b")[1].split("-")[0]) - 1 if current else -1
+def replace_snapshot(df: DataFrame, path: str) -> None:
+    """The rows of a finished run replace the served table; they are computed and staged first, and may come from it."""
+    cut_lineage(df).write.mode("overwrite").parquet(path)
 
 
-def last_batch(spark: SparkSession, path: str) -> int:
-    return _batch_of(_current(spark, path))
+def upsert_table(new: DataFrame, path: str, keys: list[str], order: list[str] | None = None, batch: int | None = None) -> None:
+    """Rows of ``new`` replace stored rows with the same key; only their buckets are rewritten."""
+    change_table(new, path, keys, lambda base, fresh: upsert_by_key(base, fresh, keys, order), batch)
 
 
-def replace_snapshot(df: DataFrame, path: str, batch: int | None = None) -> None:
-    """Write a new version next to the old one; readers see it once it is complete.
-
-    The old version stays readable, so ``df`` may be computed from it.  With
-    ``batch`` the version also says that it holds the stream up to that batch.
-    """
-    current = _current(df.sparkSession, path)
-    number = int(current.rsplit("/", 1)[1].split("-")[1]) + 1 if current else 0
-    done = (_batch_of(current) if batch is None else batch) + 1
-    df.write.parquet(f"{path}/v-{number:012d}-b{done}-{uuid.uuid4().hex[:8]}")
-
-
-def upsert_snapshot(new: DataFrame, path: str, keys: list[str]) -> None:
-    base = read_snapshot(new.sparkSession, path)
-    replace_snapshot(new if base is None else upsert_by_key(base, new, keys), path)
-
-
-def clear_jobs(spark: SparkSession, path: str) -> None:
-    """An empty version with the same columns."""
-    base = read_snapshot(spark, path)
-    if base is not None:
-        replace_snapshot(base.limit(0), path)
+def clear_jobs(spark: SparkSession, path: str) -> DataFrame | None:
+    """Delete all job rows, on disk too; the empty table with its columns, None if there was no table."""
+    columns = clear_table(spark, path)
+    return None if columns is None else read_table(spark, path, columns)
 
 
 def export_manifest(df: DataFrame) -> DataFrame:
     """Path, bytes and records of every file behind a file-based frame."""
     files = df.select("_metadata.file_path", "_metadata.file_size")
     return files.groupBy("file_path").agg(F.first("file_size").alias("bytes"), F.count("*").alias("records"))
-
-

@@ -10,8 +10,8 @@ from leadloom.operators.resolve import exact_keys, merge_cluster
 from leadloom.operators.serve import latest_per_key
 from leadloom.plans.leads import prepared
 from leadloom.schema import RECORD_SCHEMA
-from leadloom.session import cut_lineage
-from leadloom.sources.sinks import last_batch, read_snapshot, replace_snapshot, upsert_snapshot
+from leadloom.sources.buckets import change_table
+from leadloom.sources.sinks import upsert_table
 
 _KEYS = ["name_key", "site_key", "mail_key"]
 
@@ -24,23 +24,18 @@ def record_stream(spark: SparkSession, folder: str, fmt: str = "json", files_per
 def merge_into_table(new: DataFrame, path: str, batch: int | None = None) -> None:
     """Merge prepared records into the stored table on the exact key.
 
-    Only stored rows whose key occurs in the batch are merged again; the
-    others are taken over as they are.  The batch is prepared once and written.
-    With ``batch`` its number is committed in the same version as the data, and
-    a batch that is in the table already is left out.
+    The table is bucketed by that key: only buckets that hold a key of the
+    batch are read and rewritten, and there only stored rows whose key occurs
+    in the batch are merged again.  The batch is prepared once and written.
+    A batch that comes again changes nothing.
     """
-    spark = new.sparkSession
-    if batch is not None and last_batch(spark, path) >= batch:
-        return
-    fresh = cut_lineage(new.withColumns(exact_keys()))
-    base = read_snapshot(spark, path)
-    if base is None:
-        replace_snapshot(merge_cluster(fresh, _KEYS).drop("n_records"), path, batch)
-        return
-    touched = fresh.select(*_KEYS).distinct()
-    again = base.join(touched, _KEYS, "left_semi").unionByName(fresh.select(*base.columns))
-    merged = merge_cluster(again, _KEYS).drop("n_records").select(*base.columns)
-    replace_snapshot(base.join(touched, _KEYS, "left_anti").unionByName(merged), path, batch)
+    def merge(base: DataFrame, fresh: DataFrame) -> DataFrame:
+        touched = fresh.select(*_KEYS).distinct()
+        again = base.join(touched, _KEYS, "left_semi").unionByName(fresh.select(*base.columns))
+        merged = merge_cluster(again, _KEYS).drop("n_records").select(*base.columns)
+        return base.join(touched, _KEYS, "left_anti").unionByName(merged)
+
+    change_table(new.withColumns(exact_keys()), path, _KEYS, merge, batch)
 
 
 def stream_uploads(records: DataFrame, path: str, checkpoint: str, threshold: str = fixed.MIN_QUALITY) -> StreamingQuery:
@@ -60,9 +55,9 @@ def job_states(updates: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def stream_job_state(updates: DataFrame, key: str, order: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table with the latest state of every job."""
+    """Keep a table with the latest state of every job, bucketed by job: a batch rewrites the buckets of its jobs."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        upsert_snapshot(latest_per_key(batch, key, order), path, [key])
+        upsert_table(latest_per_key(batch, key, order), path, [key], batch=batch_id)
 
     return (job_states(updates, key, order).writeStream.outputMode("update").foreachBatch(handle)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadloom.functions import contacts, facts, fixed, places, text as t
@@ -11,7 +9,7 @@ from leadloom.operators import enrich, records as rec, resolve, serve
 from leadloom.plans import leads
 from leadloom.schema import RECORD_FIELDS
 from leadloom.session import checkpoint_dir
-from leadloom.sources import sinks
+from leadloom.sources import buckets, sinks
 from leadloom.streaming import flows
 from registry import sqltext as q, views as v
 from registry.queries import LOW, _seeds, query
@@ -627,21 +625,32 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("replace_snapshot", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0")
+@query("replace_snapshot", "SELECT c_custkey, upper(c_name) AS c_name FROM customer")
 def _(spark, sf):
     path = _scratch(spark)
     own = v.table(spark, sf, "customer").select("c_custkey", "c_name")
     sinks.replace_snapshot(own, path)
-    sinks.replace_snapshot(sinks.read_snapshot(spark, path).filter("c_custkey % 2 = 0"), path)
+    sinks.replace_snapshot(sinks.read_snapshot(spark, path).withColumn("c_name", F.upper("c_name")), path)
     return sinks.read_snapshot(spark, path)
 
 
+@query("upsert_table", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 5 <> 0"
+       " UNION ALL SELECT o_orderkey, 'X', o_totalprice + 1 FROM orders WHERE o_orderkey % 5 = 0")
+def _(spark, sf):
+    path = _scratch(spark)
+    base = v.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    sinks.upsert_table(base, path, ["o_orderkey"], batch=0)
+    changed = base.filter("o_orderkey % 5 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    for _again in range(2):  # the second time it is a batch that the table has
+        sinks.upsert_table(changed, path, ["o_orderkey"], batch=1)
+    return buckets.read_table(spark, path)
+
+
 @query("clear_jobs", "SELECT user_id AS id, event_type AS status FROM events WHERE false")
 def _(spark, sf):
     path = _scratch(spark)
-    sinks.replace_snapshot(_job_updates(spark, sf).select("id", "status"), path)
-    sinks.clear_jobs(spark, path)
-    return sinks.read_snapshot(spark, path)
+    buckets.replace_table(_job_updates(spark, sf).select("id", "status"), path, ["id"])
+    return sinks.clear_jobs(spark, path)
 
 
 @query("export_manifest", "SELECT count(*) AS records, true AS has_bytes FROM customer")
@@ -709,7 +718,7 @@ def _(spark, sf):
     updates = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select(
         F.col("user_id").alias("id"), F.col("ts"), F.col("event_type").alias("status"), "event_id")
     flows.stream_job_state(updates, "id", ["ts", "event_id"], f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return sinks.read_snapshot(spark, f"{path}/table").select("id", "status", "event_id")
+    return buckets.read_table(spark, f"{path}/table").select("id", "status", "event_id")
 
 
 @query("stream_dedupe", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
@@ -729,4 +738,4 @@ def _(spark, sf):
     v.entity_records(spark, sf).write.json(f"{path}/in")
     arriving = flows.record_stream(spark, f"{path}/in", "json")
     flows.stream_uploads(arriving, f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return sinks.read_snapshot(spark, f"{path}/table").select("ord", *RECORD_FIELDS)
+    return buckets.read_table(spark, f"{path}/table").select("ord", *RECORD_FIELDS)

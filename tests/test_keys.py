@@ -4,7 +4,7 @@ import random
 
 from leadloom.operators import enrich, resolve
 from leadloom.schema import as_records
-from leadloom.sources import readers, sinks
+from leadloom.sources import buckets, readers, sinks
 from leadloom.streaming import flows
 from pyspark.sql import functions as F
 
@@ -54,14 +54,58 @@ def test_upsert_leaves_one_row_per_key(spark):
     assert sorted((r["k"], r["v"]) for r in sinks.upsert_by_key(base, new, ["k"], ["at"]).collect()) == [(1, "b"), (2, "z")]
 
 
+def _files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
-    path = str(tmp_path / "table")
+    path = tmp_path / "table"
     batch = [records(spark, [{"ord": n, "company_name": "Acme", "additional_info": f"note {n}"}]) for n in range(2)]
-    for n in (0, 1, 1, 0):  # batch 1 comes again as if its run had been lost after the write
-        flows.merge_into_table(batch[n], path, n)
-    assert [r["additional_info"] for r in sinks.read_snapshot(spark, path).collect()] == ["note 0 | note 1"]
-    sinks.replace_snapshot(sinks.read_snapshot(spark, path), path)
-    assert sinks.last_batch(spark, path) == 1
+    for n in (0, 1):
+        flows.merge_into_table(batch[n], str(path), n)
+    before = _files(path)
+    for n in (1, 0):  # batch 1 comes again as if its run had been lost after the write
+        flows.merge_into_table(batch[n], str(path), n)
+    assert _files(path) == before
+    assert [r["additional_info"] for r in buckets.read_table(spark, str(path)).collect()] == ["note 0 | note 1"]
+
+
+def test_a_batch_rewrites_its_own_buckets_only(spark, tmp_path):
+    path = tmp_path / "jobs"
+    rows = spark.createDataFrame([(i if i else None, "old") for i in range(500)], "id long, state string")
+    sinks.upsert_table(rows, str(path), ["id"], batch=0)
+    before = _files(path)
+    sinks.upsert_table(rows.filter("id in (3, 4)").withColumn("state", F.lit("new")), str(path), ["id"], batch=1)
+    after = _files(path)
+    wanted = {r[0] for r in rows.filter("id in (3, 4)").select(buckets.bucket_of(["id"])).collect()}
+    touched = {name.split("=")[1].split("/")[0] for name in before.keys() ^ after.keys()}
+    assert touched == {str(b) for b in wanted} and all(after[f] == before[f] for f in before.keys() & after.keys())
+    got = buckets.read_table(spark, str(path)).groupBy("state").count().collect()
+    assert sorted(map(tuple, got)) == [("new", 2), ("old", 498)]
+    # half of a batch was written before its run was lost: the other half is finished, the first is left alone
+    both = rows.filter("id in (3, 7)").withColumn("state", F.lit("half"))
+    first, second = (rows.filter(f"id = {i}").select(buckets.bucket_of(["id"])).first()[0] for i in (3, 7))
+    assert first != second
+    sinks.upsert_table(both.filter("id = 3"), str(path), ["id"], batch=2)
+    before = _files(path)
+    sinks.upsert_table(both.withColumn("state", F.lit("again")), str(path), ["id"], batch=2)
+    touched = {name.split("=")[1].split("/")[0] for name in before.keys() ^ _files(path).keys()}
+    assert touched == {str(second)}
+    states = {r["id"]: r["state"] for r in buckets.read_table(spark, str(path)).filter("id in (3, 4, 7)").collect()}
+    assert states == {3: "half", 4: "new", 7: "again"}
+
+
+def test_cleared_tables_leave_no_rows_on_disk(spark, tmp_path):
+    path = tmp_path / "jobs"
+    assert buckets.read_table(spark, str(path)) is None and sinks.clear_jobs(spark, str(path)) is None
+    rows = spark.createDataFrame([(i, "x") for i in range(50)], "id long, state string")
+    sinks.upsert_table(rows, str(path), ["id"])
+    empty = sinks.clear_jobs(spark, str(path))
+    assert empty.count() == 0 and empty.columns == ["id", "state"] and not _files(path)
+    sinks.upsert_table(rows, str(path), ["id"])
+    assert buckets.read_table(spark, str(path)).count() == 50
+    buckets.replace_table(buckets.read_table(spark, str(path)).filter("id < 5"), str(path), ["id"])
+    assert buckets.read_table(spark, str(path)).count() == 5
 
 
 def test_name_parts_against_brute_force(spark):

@@ -9,7 +9,7 @@ from leadloom.functions import fixed
 from leadloom.operators import enrich, records as rec, serve
 from leadloom.plans import leads
 from leadloom.schema import RECORD_FIELDS, as_records
-from leadloom.sources import readers, sinks
+from leadloom.sources import buckets, readers, sinks
 from leadloom.streaming import flows
 from registry import views
 
@@ -72,11 +72,12 @@ def test_sinks_read_back(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 4
     path = str(tmp_path / "jobs")
     jobs = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
-    sinks.upsert_snapshot(jobs, path, ["id"])
-    sinks.upsert_snapshot(spark.createDataFrame([("b", 3), ("c", 4)], "id string, n int"), path, ["id"])
-    assert sorted(map(tuple, sinks.read_snapshot(spark, path).collect())) == [("a", 1), ("b", 3), ("c", 4)]
-    sinks.clear_jobs(spark, path)
-    assert sinks.read_snapshot(spark, path).count() == 0
+    sinks.upsert_table(jobs, path, ["id"])
+    sinks.upsert_table(spark.createDataFrame([("b", 3), ("c", 4)], "id string, n int"), path, ["id"])
+    assert sorted(map(tuple, buckets.read_table(spark, path).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    sinks.replace_snapshot(jobs, str(tmp_path / "served"))
+    sinks.replace_snapshot(sinks.read_snapshot(spark, str(tmp_path / "served")).filter("n = 2"), str(tmp_path / "served"))
+    assert list(map(tuple, sinks.read_snapshot(spark, str(tmp_path / "served")).collect())) == [("b", 2)]
 
 
 def test_serial_numbers_with_gaps(spark):
@@ -103,7 +104,7 @@ def test_stream_equals_batch(spark, tmp_path):
     own.write.json(str(tmp_path / "in"))
     stream = flows.record_stream(spark, str(tmp_path / "in"), files_per_batch=2)
     flows.stream_uploads(stream, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    got = sinks.read_snapshot(spark, str(tmp_path / "t"))
+    got = buckets.read_table(spark, str(tmp_path / "t"))
     from leadloom.operators.resolve import dedupe_exact
 
     wanted = dedupe_exact(leads.prepared(own))
