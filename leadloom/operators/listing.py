@@ -373,8 +373,8 @@ def _seed(url: Column, source: str, confidence: float) -> Column:
     return F.struct(url.alias("url"), F.lit(source).alias("source_name"), F.lit(confidence).alias("confidence"))
 
 
-def listing_seeds(pages: DataFrame) -> DataFrame:
-    """Company and website seeds of a directory listing; the page's phone and address go to its last seed."""
+def listing_seeds(pages: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Company and website seeds of a directory listing, distinct within ``by``; the page's phone and address go to its last seed."""
     nodes, texts = F.col("nodes"), F.col("texts")
     class_test = rf"(?i)^[^ .]+\.(?:[^ .@]+\.)*[^ .@]*(?:{LISTING_CARD_CLASS})[^ .@]*\.[^ ]*$"
 
@@ -414,7 +414,7 @@ def listing_seeds(pages: DataFrame) -> DataFrame:
         F.when(last, F.col("phone")).alias("inline_phone"), F.lit(None).cast("string").alias("inline_email"),
         F.when(last, F.col("place")).alias("inline_address"),
     )
-    return dedupe_listing(out)
+    return dedupe_listing(out, by)
 
 
 def usable(pages: DataFrame) -> DataFrame:

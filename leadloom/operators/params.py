@@ -117,6 +117,8 @@ def work_items(queries: DataFrame, enabled: list[str] | None = None) -> DataFram
                  F.lit({"discovery": 0, "website": 2}.get(p, 1)).alias("phase"))
         for n, p in enumerate(fixed.PLATFORMS) if p in chosen
     ])
+    if not chosen & set(fixed.PLATFORMS):
+        listed = listed.cast("array<struct<platform_pos:int,platform:string,phase:int>>")
     return queries.select("*", F.inline(listed))
 
 

@@ -63,10 +63,10 @@ def dedupe_seeds(seeds: DataFrame, by: list[str] | None = None, max_results: int
     return unique.withColumn("_n", rank).filter(F.col("_n") <= max_results).drop("_n")
 
 
-def dedupe_listing(seeds: DataFrame) -> DataFrame:
-    """Distinct listing links by host and path without the trailing slash."""
+def dedupe_listing(seeds: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Distinct listing links by host and path without the trailing slash, within ``by``."""
     url = F.col("url")
-    return keep_first(seeds, [F.concat(url_host(url), F.regexp_replace(url_path(url), "/+$", ""))])
+    return keep_first(seeds, [*map(F.col, by or []), F.concat(url_host(url), F.regexp_replace(url_path(url), "/+$", ""))])
 
 
 def discovery_cascade(seeds: DataFrame, max_results: int = 100) -> DataFrame:
@@ -252,7 +252,9 @@ def _pieces(nodes: DataFrame, shorter: bool, kept: int) -> DataFrame:
 
     The shorter name of a pair is cut into k + kept parts, k being the edits
     allowed; at least ``kept`` parts survive unchanged in the longer name, at
-    most k places away.  The key is a hash of the lengths of both names, the
+    most k places away.  For one part, only the shifts are tried that leave
+    it at least one edit for every part before it and every part behind it:
+    of the parts that survive, one always lies there.  The key is a hash of the lengths of both names, the
     numbers of the parts and their text; pairs are verified later, so that
     two pieces with the same hash do no harm.
     """
@@ -278,9 +280,13 @@ def _pieces(nodes: DataFrame, shorter: bool, kept: int) -> DataFrame:
         numbered = numbered.filter(low <= parts - kept + position).withColumn(
             i, F.explode(F.sequence(low, parts - kept + position)))
         if not shorter:
-            gap = F.col("lb") - F.col("la")
-            numbered = numbered.withColumn(f"s{i}", F.explode(F.sequence(
-                -F.floor((F.col("k") - gap) / 2).cast("int"), F.floor((F.col("k") + gap) / 2).cast("int"))))
+            gap, k = F.col("lb") - F.col("la"), F.col("k")
+            if kept == 1:  # some part survives with no more edits before it than parts, and none more behind it either
+                behind = k - F.col(i)
+                lowest, highest = F.greatest(-F.col(i), gap - behind), F.least(F.col(i), gap + behind)
+            else:
+                lowest, highest = -F.floor((k - gap) / 2).cast("int"), F.floor((k + gap) / 2).cast("int")
+            numbered = numbered.withColumn(f"s{i}", F.explode(F.sequence(lowest, highest)))
             at, length = start(F.col(i)) + F.col(f"s{i}"), start(F.col(i) + 1) - start(F.col(i))
             numbered = numbered.filter((at >= 0) & (at + length <= F.col("lb")))
     texts = []
@@ -380,9 +386,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     every round, so a lost executor costs one round at most.
     """
     u, v = F.col("u"), F.col("v")
+
+    def state(links: DataFrame) -> tuple:
+        """Number and digest of the links: one pass instead of a join with those before."""
+        hashed = F.xxhash64("u", "v")
+        return tuple(links.agg(F.count("*"), F.bit_xor(hashed), F.sum(F.pmod(hashed, F.lit((1 << 31) - 1)))).first())
+
     edges = cut_lineage(links.select(
         F.greatest("left_id", "right_id").alias("u"), F.least("left_id", "right_id").alias("v")
     ).filter(u != v).distinct())
+    before = state(edges)
     while True:
         both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
         least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
@@ -390,9 +403,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         smallest = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(smallest, "u").filter(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
         after = cut_lineage(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct())
-        if after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty():
+        now = state(after)
+        if now == before:
             break
-        edges = after
+        edges, before = after, now
     found = after.select(u.alias("id"), v.alias("cluster"))
     return found.unionByName(found.select(F.col("cluster").alias("id"), "cluster").distinct())
 

@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame
 
 from leadloom.functions import fixed
 from leadloom.operators.enrich import Lookups, enrich_company, enrich_location, enrich_lookup, enrich_text_only
-from leadloom.operators.params import build_queries, work_items
 from leadloom.operators.records import (
     clean_records, clean_records_basic, normalize_records, quality_filter, rename_long_names,
 )
 from leadloom.operators.resolve import dedupe, dedupe_exact
 from leadloom.session import cut_lineage
-from leadloom.sources.readers import records_of_all
-from leadloom.sources.sinks import read_snapshot, replace_snapshot, to_output_schema, write_csv, write_json
+from leadloom.sources.sinks import to_output_schema
 
 
 def prepared(raw: DataFrame, threshold: str = fixed.MIN_QUALITY, lookups: Lookups | None = None) -> DataFrame:
@@ -48,21 +46,3 @@ def lead_table_basic(raw: DataFrame, prefix_rule: bool = True) -> DataFrame:
     """The lighter run: basic cleaning, no quality filter, one enrichment pass."""
     own = enrich_location(enrich_company(normalize_records(clean_records_basic(raw))))
     return to_output_schema(dedupe(cut_lineage(own), prefix_rule))
-
-
-def bulk_run(params: DataFrame, pages: DataFrame, sources: list[str], out: str,
-             threshold: str = fixed.MIN_QUALITY, lookups: Lookups | None = None, profiles: DataFrame | None = None) -> DataFrame:
-    """Parameters to a stored table: expand, pick the fetched pages, extract, run, write.
-
-    ``pages`` has page_id, query, source, url and html: what was fetched for
-    the work items; ``profiles`` (page_id, url, html) the pages of results that
-    were visited.  Returns the finished table.
-    """
-    items = work_items(build_queries(params), sources).select("query", "platform")
-    wanted = pages.join(
-        items.withColumnRenamed("platform", "source").distinct(), ["query", "source"], "left_semi")
-    replace_snapshot(lead_table(records_of_all(wanted, sources, profiles), threshold, lookups), f"{out}/companies")
-    stored = read_snapshot(params.sparkSession, f"{out}/companies")
-    write_json(stored, f"{out}/json")
-    write_csv(stored, f"{out}/csv")
-    return stored

@@ -93,7 +93,7 @@ for _name, _mapper in {
     "maps": listing.maps_records,
     "website": listing.website_records,
     "linkedin": listing.linkedin_records,
-    "indiamart": lambda pages: listing.indiamart_records(listing.listing_seeds(pages)),
+    "indiamart": lambda pages: listing.indiamart_records(listing.listing_seeds(pages, ["query"])),
     "tradeindia": lambda pages: listing.site_records(pages, "tradeindia"),
     "justdial": listing.card_records,
     "clutch": listing.clutch_records,
@@ -113,23 +113,36 @@ def records_from_pages(pages: DataFrame, source: str) -> DataFrame:
     return as_records(SOURCES[source](pages))
 
 
-def records_of_all(pages: DataFrame, sources: list[str], profiles: DataFrame | None = None) -> DataFrame:
-    """Records of every listed source from pages that carry their source name, numbered by source, then by place.
+def page_of(source: str) -> Column:
+    """The page a record of a source was made from: its ``ord`` is the page, with the place in it below that."""
+    return F.floor(F.col("ord") / 10) if source == "google_places" else F.shiftright("ord", 20)
+
+
+def records_by_page(pages: DataFrame, sources: list[str], profiles: DataFrame | None = None) -> DataFrame:
+    """Records of every listed source with source_pos (place in the list), page_id and their place ``ord``; written.
 
     The pages are read once and written by source; each source then reads and
-    parses its own folder only.  The records of all sources are written once
-    and numbered, so that no two of them share an ``ord``.  ``profiles``
-    (page_id, url, html) completes them from the pages they point to.
+    parses its own folder only.  ``profiles`` (page_id, url, html) completes
+    the records from the pages they point to.
     """
-    from leadloom.operators.serve import serial_number
-
     stored = cut_lineage(pages.filter(F.col("source").isin(*sources)), "source")
     parts = [
-        records_from_pages(stored.filter(F.col("source") == s).drop("source"), s).withColumn(
-            "_place", F.struct(F.lit(i).alias("source"), "ord", F.xxhash64(*RECORD_FIELDS).alias("row")))
+        records_from_pages(stored.filter(F.col("source") == s).drop("source"), s).withColumns(
+            {"source_pos": F.lit(i), "page_id": page_of(s)})
         for i, s in enumerate(sources)
     ]
-    whole = cut_lineage(reduce(DataFrame.unionByName, parts).drop("ord"))
-    if profiles is not None:
-        whole = cut_lineage(listing.with_profiles(whole, profiles))
+    whole = cut_lineage(reduce(DataFrame.unionByName, parts))
+    return whole if profiles is None else cut_lineage(listing.with_profiles(whole, profiles))
+
+
+def records_of_all(pages: DataFrame, sources: list[str], profiles: DataFrame | None = None) -> DataFrame:
+    """Records of every listed source from pages that carry their source name, numbered by source, then by place.
+
+    The records of all sources are written once and numbered, so that no two
+    of them share an ``ord``.
+    """
+    from leadloom.operators.serve import serial_number
+
+    place = F.struct("source_pos", "ord", F.xxhash64(*RECORD_FIELDS).alias("row"))
+    whole = records_by_page(pages, sources, profiles).withColumn("_place", place).drop("ord")
     return serial_number(whole, "_place", "ord").select("ord", *RECORD_FIELDS)

@@ -698,17 +698,6 @@ def _(spark, sf):
     return _snake(leads.lead_table_basic(v.entity_records(spark, sf)))
 
 
-@query("bulk_run")
-def _(spark, sf):
-    host = t.url_host(F.col("url"))
-    fetched = v.pages(spark, sf).select(
-        "page_id", host.alias("query"), F.when(F.col("page_id") % 2 == 0, "website").otherwise("direct_website").alias("source"),
-        "url", "html")
-    asked = fetched.groupBy(F.col("query").alias("keyword")).agg(F.min("page_id").alias("ord")).select(
-        "ord", "keyword", F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("industry"))
-    return _snake(leads.bulk_run(asked, fetched, ["website", "direct_website"], _scratch(spark), LOW))
-
-
 # --- L: streams ------------------------------------------------------------
 
 @query("stream_job_state", _LATEST)

@@ -170,3 +170,32 @@ def test_no_cross_product_in_plans(spark):
     for df in (resolve.similar_names(own), resolve.star_links(own, F.col("name"), "id", "x")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_few_pieces_of_long_names(spark):
+    counts = {}
+    for n in (20, 60, 120):
+        one = spark.createDataFrame([(1, "x" * 4 + "".join(chr(97 + i % 23) for i in range(n - 4)))], "id long, name string")
+        counts[n] = resolve._pieces(one, False, 1).count()
+    assert all(counts[n] <= most for n, most in ((20, 30), (60, 400), (120, 2600))), counts
+
+
+def test_similar_names_of_all_lengths_miss_nothing(spark):
+    rnd = random.Random(11)
+    own = set()
+    for size in (7, 13, 20, 27, 34, 47, 60):
+        for _ in range(4):
+            name = [rnd.choice("ab") for _ in range(size)]
+            own.add("".join(name))
+            for _ in range(8):
+                near = list(name)
+                for _ in range(rnd.randint(1, max(1, size * 15 // 100))):
+                    at = rnd.randrange(len(near))
+                    near[at:at + rnd.randint(0, 1)] = rnd.choice(["", "a", "b", "ab"])
+                own.add("".join(near))
+    own = sorted(x for x in own if x)
+    nodes = spark.createDataFrame(list(enumerate(own)), "id long, name string")
+    wanted = {(a, b) for a in own for b in own if a != b and (len(a), a) < (len(b), b) and distance(a, b) * 100 <= 15 * len(b)}
+    found = {tuple(sorted((r["left_name"], r["right_name"]), key=lambda x: (len(x), x)))
+             for r in resolve.similar_names(nodes, other_prefix_only=False).collect()}
+    assert found == wanted

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import fixed
 from leadloom.operators import enrich, records as rec, serve
-from leadloom.plans import leads
+from leadloom.plans import leads, runs
 from leadloom.schema import RECORD_FIELDS, as_records
 from leadloom.sources import buckets, readers, sinks
 from leadloom.streaming import flows
@@ -87,16 +87,37 @@ def test_serial_numbers_with_gaps(spark):
 
 
 def test_bulk_run(spark, tmp_path):
-    params = spark.createDataFrame([(1, "steel", "Pune", None)], "ord int, keyword string, location string, industry string")
+    params = spark.createDataFrame([(1, "pumps", "Pune", None)], "ord int, keyword string, location string, industry string")
     html = (
         "<html><head><meta name='description' content='Maker of industrial steel pumps in Pune with 250 employees'></head><body>"
         "Acme Pumps Private Limited\nsales@acmepumps.in +91 98765 12345<address>12 MG Road, Pune, Maharashtra 411001</address></body></html>")
     pages = spark.createDataFrame(
-        [(1, "steel Pune", "website", "https://acmepumps.in", html), (2, "other", "website", "https://x.in", html)],
+        [(1, "pumps Pune", "website", "https://acmepumps.in", html), (2, "other", "website", "https://x.in", html)],
         "page_id long, query string, source string, url string, html string")
-    rows = leads.bulk_run(params, pages, ["website"], str(tmp_path / "out")).collect()
+    # no result names a site: the addresses guessed from the query are visited
+    guessed = pages.withColumn("url", F.when(F.col("page_id") == 1, "https://www.pumpspune.com").otherwise(F.col("url")))
+    out = str(tmp_path / "out")
+    rows = runs.bulk_run(params, guessed, ["website"], out, job_id="B1", started="2024-01-01").collect()
     assert len(rows) == 1 and rows[0]["EMail Address"] == "sales@acmepumps.in"
-    assert spark.read.json(str(tmp_path / "out/json")).count() == 1
+    assert spark.read.json(f"{out}/json").count() == 1
+    # a later run with results that name the site; its job has a row of its own
+    found = "<li class='b_algo'><h2><a href='https://acmepumps.in'>Acme Pumps</a></h2><p>pumps</p></li>"
+    more = pages.unionByName(spark.createDataFrame([(3, "pumps Pune", "discovery", "u", found)], pages.schema))
+    again = runs.bulk_run(params, more, ["discovery", "website"], out, job_id="B2", started="2024-01-02").collect()
+    assert [(r["Website"], r["EMail Address"]) for r in again] == [("https://acmepumps.in", "sales@acmepumps.in")]
+    jobs = {r["id"]: r for r in runs.job_rows(params, out).collect()}
+    assert {k: (r["status"], r["progress"], r["recordsFound"], r["query"], r["rowCount"]) for k, r in jobs.items()} == {
+        k: ("Completed", 100, 1, "pumps", 1) for k in ("B1", "B2")}
+    assert spark.read.parquet(f"{out}/rejected").columns[-1] == "reasons"
+
+
+def test_a_run_that_fails_says_so(spark, tmp_path):
+    params = spark.createDataFrame([(1, "steel", "Pune", None)], "ord int, keyword string, location string, industry string")
+    pages = spark.createDataFrame([], "page_id long, query string, source string, url string, html string")
+    with pytest.raises(Exception):
+        runs.bulk_run(params, pages, ["website"], str(tmp_path), threshold="much")
+    job = runs.job_rows(params, str(tmp_path)).first()
+    assert (job["status"], job["progress"], job["recordsFound"]) == ("Failed", 100, 0)
 
 
 def test_stream_equals_batch(spark, tmp_path):
