@@ -34,6 +34,9 @@ from leadloom.llm.tokens import encoder, word_tokenizer
 CAPACITY = 4096
 END = 1
 
+#: Part of one sequence that the linear program may miss its optimum by.
+GAP = 0.1
+
 Room = tuple[int, list[tuple[int, int]]]  # so many sequences, each with (length, times) items
 
 
@@ -43,16 +46,22 @@ def configurations(sizes: list[int], wanted: list[int], capacity: int) -> list[t
     """Linear program min sum x, A x = wanted, over ways to fill a sequence with sizes: (x, column) of the best solution.
 
     Steps go on until no way to fill a sequence has a reduced cost below
-    zero.  The demand is a little uneven while they do, so that no step stays
-    in place and the search cannot run in circles.
+    zero, or the bound that the best one gives (the present number of
+    sequences divided by its value) shows that less than ``GAP`` of one
+    sequence could still be saved.  The demand is a little uneven while they
+    do, so that no step stays in place; should rounding errors keep the number
+    from falling for as many steps as four for each size, the search ends.
     """
     k = len(sizes)
     basis = np.diag([capacity // s for s in sizes]).astype(float)
     demand = np.array(wanted, float)
     uneven = demand + 1e-4 * (1 + np.modf(np.arange(1, k + 1) * 0.6180339887498949)[0])
     room = np.arange(capacity + 1)
-    while True:
+    least, idle = np.inf, 0
+    while idle <= 4 * k:
         prices = np.linalg.solve(basis.T, np.ones(k))
+        used = float(prices @ uneven)
+        least, idle = (used, 0) if used < least - 1e-6 else (least, idle + 1)
         best = np.zeros(capacity + 1)
         chosen = np.full((capacity // min(sizes) + 1, capacity + 1), -1)
         for step in range(1, len(chosen)):  # best value with at most `step` items
@@ -65,7 +74,7 @@ def configurations(sizes: list[int], wanted: list[int], capacity: int) -> list[t
             if (pick < 0).all():
                 break
             best = now
-        if best[capacity] <= 1 + 1e-7:
+        if best[capacity] <= 1 + 1e-7 or used - used / best[capacity] < GAP:
             break
         column, at = np.zeros(k), int(room[np.argmax(best)])
         for step in range(len(chosen) - 1, 0, -1):
