@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from side_by_side import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"stream_uploads", "lead_table_exact", "prepared_records", "enrich_location", "full_address"}
+SLOW = {"bulk_run", "stream_uploads", "lead_table_exact", "prepared_records", "enrich_location", "full_address"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
