@@ -16,6 +16,7 @@ import json
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -38,56 +39,81 @@ SYMBOLS = 1 << 16
 def compress(ids: np.ndarray, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, left, right, base): the grammar of ``ids``.
 
-    Each round counts all pairs of neighbours exactly and replaces, from left
-    to right, those that come at least half as often as the most frequent
-    one; a rule that overlaps leave with fewer than ``least`` / 2 places waits.
-    Rounds go on until no pair comes ``least`` times or all symbols of 16 bits
-    are in use; ids at or above 2^16 need 32 bits, and then rules have no limit.
+    Each round takes the exact counts of all pairs of neighbours and replaces,
+    from left to right, those that come at least half as often as the most
+    frequent one; a rule that overlaps leave with fewer than ``least`` / 2
+    places waits.  Rounds go on until no pair comes ``least`` times or all
+    symbols of 16 bits are in use; ids at or above 2^16 need 32 bits, and then
+    rules have no limit.
+
+    Every place keeps the number of its pair, 0 for a pair that does not come
+    ``least`` times.  A pair can only become rarer, unless it holds a symbol
+    made in the last round, so after a round only the pairs beside replaced
+    places are numbered anew.
     """
     symbols = ids.astype(np.uint32)
     base = int(ids.max(initial=0)) + 1
     left, right = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
     made, room = 0, SYMBOLS - base if base <= SYMBOLS else len(ids)
-    while made < room and len(symbols) > least:
-        pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        ordered = np.sort(pairs)
-        edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
-        counts = np.diff(edges)
+    values = np.zeros(1, np.uint64)
+    code = np.zeros(len(symbols), np.int32)
+    near = np.arange(max(0, len(symbols) - 1))
+    while made < room:
+        pairs = (symbols[near].astype(np.uint64) << np.uint64(32)) | symbols[near + 1]
+        code[near], found = _numbered(pairs, least, len(values))
+        values = np.concatenate([values, found])
+        counts = np.bincount(code, minlength=len(values))
+        counts[0] = 0
         most = int(counts.max())
         if most < least:
             break
         chosen = np.flatnonzero(counts >= max(least, most // 2))
-        chosen = chosen[np.argsort(-counts[chosen], kind="stable")][: room - made]
-        at, rule, owner = _places(pairs, np.sort(ordered[edges[chosen]]))
+        chosen = chosen[np.lexsort((values[chosen], -counts[chosen]))][: room - made]
+        owner = chosen[np.argsort(values[chosen])]
+        at, rule = _places(code, owner, len(values))
         enough = np.bincount(rule, minlength=len(owner)) >= max(1, least // 2)
         if not enough.any():  # overlaps took them all: the most frequent pair alone
-            at, rule, owner = _places(pairs, ordered[edges[chosen[:1]]])
+            owner = chosen[:1]
+            at, rule = _places(code, owner, len(values))
             enough = np.ones(1, bool)
         stay = enough[rule]
         at, rule = at[stay], (np.cumsum(enough) - 1)[rule[stay]]
         symbols[at] = (base + made + rule).astype(np.uint32)
         stays = np.ones(len(symbols), bool)
         stays[at + 1] = False
-        symbols = symbols[stays]
-        left.append((owner[enough] >> np.uint64(32)).astype(np.uint32))
-        right.append((owner[enough] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        symbols, code = symbols[stays], code[stays]
+        at -= np.arange(len(at))  # places after those before them have closed up
+        beside = np.zeros(len(symbols), bool)
+        beside[at] = True
+        beside[at[at > 0] - 1] = True
+        beside[-1], code[-1] = False, 0
+        near = np.flatnonzero(beside)
+        pair = values[owner[enough]]
+        left.append((pair >> np.uint64(32)).astype(np.uint32))
+        right.append((pair & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         made += int(enough.sum())
     return symbols, np.concatenate(left), np.concatenate(right), base
 
 
-def _places(pairs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the pairs of ``owner`` (ascending) are replaced, and by which: of neighbours in a run, which overlap, every other one."""
-    begins = np.zeros(int(pairs.max() >> np.uint64(32)) + 1, bool)
-    begins[owner >> np.uint64(32)] = True
-    at = np.flatnonzero(begins[pairs >> np.uint64(32)])  # few are looked up
-    number = np.minimum(np.searchsorted(owner, pairs[at]), len(owner) - 1)
-    same = owner[number] == pairs[at]
-    at, number = at[same], number[same]
+def _numbered(pairs: np.ndarray, least: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from ``first`` on for the pairs that come ``least`` times, 0 for the others; and the pairs numbered."""
+    number, found = pd.factorize(pairs)
+    often = np.bincount(number, minlength=len(found)) >= least
+    return np.where(often, np.cumsum(often) + (first - 1), 0).astype(np.int32)[number], found[often]
+
+
+def _places(code: np.ndarray, owner: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pairs of ``owner`` are replaced, and by which: of neighbours in a run, which overlap, every other one."""
+    wanted = np.full(n_codes, -1, np.int32)
+    wanted[owner] = np.arange(len(owner), dtype=np.int32)
+    number = wanted[code]
+    at = np.flatnonzero(number >= 0)
+    number = number[at]
     first = np.ones(len(at), bool)
     first[1:] = np.diff(at) > 1
     run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
     free = (np.arange(len(at)) - run) % 2 == 0
-    return at[free], number[free], owner
+    return at[free], number[free]
 
 
 def sizes_of(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
