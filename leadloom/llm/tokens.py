@@ -58,7 +58,9 @@ class Encoder:
             and [n.get("type") for n in (about.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         )
         self.model = self.whole.model
-        self.marks = tuple({t["content"][:2] for t in about["added_tokens"]})
+        marks = sorted({t["content"][:2] for t in about["added_tokens"]})
+        self.marks = re.compile("|".join(map(re.escape, marks)) or "(?!)")
+        self.letters = not any(m.isalpha() for m in marks)
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.parts = _Words(self._part)
         self.words = _Words(self._word)
@@ -72,7 +74,9 @@ class Encoder:
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part)])
 
     def _word(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word) or any(m in word for m in self.marks):
+        if self.letters and word.isascii() and word.isalpha():  # one part, and no mark
+            return self.parts[word.lower()]
+        if not _PLAIN.fullmatch(word) or self.marks.search(word):
             return self._plainly(word)
         parts = _PARTS.findall(word.lower())
         return self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
