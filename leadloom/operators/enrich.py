@@ -126,58 +126,97 @@ def _asked_key(wanted: Column, key: str) -> Column:
     return F.when(wanted, F.col(key)).otherwise(F.concat(F.lit("\x00"), spread))
 
 
-def _fill_from(df: DataFrame, table: DataFrame | None, key: str, guard: Column, append_info: bool = False) -> DataFrame:
-    """Left join on ``key`` and fill what is missing where ``guard`` holds.
+def _fill(df: DataFrame, source: str, fields: list[str], key: str, guard: Column, append_info: bool = False) -> DataFrame:
+    """Fill what is missing from the fields of the struct ``source`` where ``guard`` holds and the record has a key."""
+    use = guard & (F.col(key) != "")
+    found = {f: F.when(use, F.col(f"{source}.{f}")) for f in fields if f in df.columns}
+    filled = {f: fill_missing(F.col(f), x) for f, x in found.items()}
+    if append_info and "additional_info" in found:
+        filled["additional_info"] = F.concat_ws(
+            " | ", F.nullif(F.col("additional_info"), F.lit("")), F.nullif(found["additional_info"], F.lit(""))
+        )
+    return df.select(*[filled.get(c, F.col(c)).alias(c) for c in df.columns])
+
+
+def _fields(table: DataFrame) -> list[str]:
+    return [f for f in RECORD_FIELDS if f in table.columns]
+
+
+def _join_lookup(df: DataFrame, rows: DataFrame, key: str, guard: Column) -> DataFrame:
+    """Left join with a lookup of one row per ``_key``.
 
     Rows that do not need the table ask for a key no table holds, one of many,
     so that they spread over the reducers instead of meeting in one.
     """
-    if table is None:
-        return df
-    fields = [f for f in RECORD_FIELDS if f in table.columns]
-    other = one_per_key(table, key, fields)
     asked = df.withColumn("_ask", _asked_key(guard & (F.col(key) != ""), key))
-    joined = asked.join(other, F.col("_ask") == F.col("_key"), "left")
-    filled = {f: fill_missing(F.col(f), F.col(f"_x_{f}")) for f in fields}
-    if append_info and "additional_info" in fields:
-        filled["additional_info"] = F.concat_ws(
-            " | ", F.nullif(F.col("additional_info"), F.lit("")), F.nullif(F.col("_x_additional_info"), F.lit(""))
-        )
-    return joined.select(*[filled.get(c, F.col(c)).alias(c) for c in df.columns])
+    return asked.join(rows, F.col("_ask") == F.col("_key"), "left").drop("_ask", "_key")
+
+
+def _fill_from(df: DataFrame, table: DataFrame, key: str, guard: Column, append_info: bool = False) -> DataFrame:
+    """Look one table up by ``key`` and fill what is missing where ``guard`` holds."""
+    fields = _fields(table)
+    rows = first_rows({"_from": table}, key, {"_from": fields})
+    return _fill(_join_lookup(df, rows, key, guard), "_from", fields, key, guard, append_info).drop("_from")
+
+
+def first_rows(tables: dict[str, DataFrame], key: str, fields: dict[str, list[str]]) -> DataFrame:
+    """``_key`` and, per table, the struct of its first row with that key (by ``ord`` where it has one, then the smallest).
+
+    All tables are reduced in one aggregation, combined before the shuffle, and
+    written out, so that what joins the result joins two plain shuffles.
+    """
+    def rows(name: str, table: DataFrame) -> DataFrame:
+        order = ["ord"] if "ord" in table.columns else []
+        own = table.filter((F.col(key).isNotNull()) & (F.col(key) != ""))
+        return own.select(F.col(key).alias("_key"), F.struct(*order, F.struct(*fields[name]).alias("_row")).alias(name))
+
+    every = [rows(n, t) for n, t in tables.items() if fields[n]]
+    together = every[0]
+    for other in every[1:]:
+        together = together.unionByName(other, allowMissingColumns=True)
+    names = [n for n in tables if fields[n]]
+    first = together.groupBy("_key").agg(*[F.min(n).alias(n) for n in names])
+    return cut_lineage(first.select("_key", *[F.col(f"{n}._row").alias(n) for n in names]))
 
 
 def enrich_lookup(df: DataFrame, lookups: Lookups) -> DataFrame:
-    """Fill gaps from company tables in priority order; names under three characters are left alone."""
+    """Fill gaps from company tables in priority order; names under three characters are left alone.
+
+    All tables keyed by name are one lookup, so a record is joined twice at
+    most: by its name, and by the registration number that its own text or a
+    directory's gives.  Which table may fill what is then decided in place.
+    """
     c = F.col
-    own = df.withColumn("name_key", lookup_key(c("company_name"))).withColumn(
-        "gstin", facts.gstin(F.coalesce(c("additional_info"), F.lit("")))
-    )
+    by_name = {n: lookups.get(n) for n in ("directory1", "directory2", "panel", "encyclopedia", "directors", "erp")}
+    fields = {n: ["erp_software"] if n == "erp" else _fields(t) for n, t in by_name.items() if t is not None}
+    by_name = {f"_{n}": by_name[n] for n, found in fields.items() if found}
+    own = df.withColumn("_name_key", lookup_key(c("company_name")))
     named = F.length("company_name") >= 3
     incomplete = named & ((c("contact_name") == "") | (c("turnover") == ""))
     thin = named & (
         (c("contact_name") == "") | (c("turnover") == "") | (c("employee_count") == "") | (c("industry_type") == "")
     )
-    out = _fill_from(own, lookups.get("directory1"), "name_key", incomplete, append_info=True)
-    out = _fill_from(out, lookups.get("directory2"), "name_key", incomplete, append_info=True)
-    # directory pages may have added a registration number
-    out = out.withColumn("gstin", facts.gstin(F.coalesce(c("additional_info"), F.lit(""))))
-    out = _fill_from(out, lookups.get("gst"), "gstin", named, append_info=True)
-    out = _fill_from(out, lookups.get("panel"), "name_key", named)
-    out = _fill_from(out, lookups.get("encyclopedia"), "name_key", thin)
-    out = _fill_from(out, lookups.get("directors"), "name_key", named & (c("contact_name") == ""))
-    wanted = named & (c("erp_software") == "")
-    text_erp = facts.erp_by_pattern(_text("description", "additional_info"))
-    votes = lookups.get("erp")
-    if votes is None:
-        out = _with(out, {"erp_software": F.when(wanted, text_erp).otherwise(c("erp_software"))})
-    else:
-        vote = one_per_key(votes, "name_key", ["erp_software"]).withColumnRenamed("_x_erp_software", "_vote")
-        asked = out.withColumn("_ask", _asked_key(wanted, "name_key"))
-        out = asked.join(vote, c("_ask") == c("_key"), "left")
-        out = _with(out, {
-            "erp_software": F.when(wanted, first_filled(c("_vote"), text_erp)).otherwise(c("erp_software"))
-        }).drop("_ask", "_key", "_vote")
-    return out.drop("name_key", "gstin")
+    if by_name:
+        rows = first_rows({n: t.withColumnRenamed("name_key", "_name_key") for n, t in by_name.items()}, "_name_key",
+                          {n: fields[n[1:]] for n in by_name})
+        own = _join_lookup(own, rows, "_name_key", named)
+
+    def fill(out: DataFrame, table: str, guard: Column, append_info: bool = False) -> DataFrame:
+        return _fill(out, f"_{table}", fields[table], "_name_key", guard, append_info) if f"_{table}" in by_name else out
+
+    out = fill(own, "directory1", incomplete, append_info=True)
+    out = fill(out, "directory2", incomplete, append_info=True)
+    gst = lookups.get("gst")
+    if gst is not None:  # directory pages may have added a registration number
+        out = out.withColumn("_gstin", facts.gstin(F.coalesce(c("additional_info"), F.lit(""))))
+        out = _fill_from(out, gst.withColumnRenamed("gstin", "_gstin"), "_gstin", named, append_info=True).drop("_gstin")
+    out = fill(out, "panel", named)
+    out = fill(out, "encyclopedia", thin)
+    out = fill(out, "directors", named & (c("contact_name") == ""))
+    votes = [F.when(c("_name_key") != "", c("_erp.erp_software"))] if "_erp" in by_name else []
+    found = first_filled(*votes, facts.erp_by_pattern(_text("description", "additional_info")))
+    out = _with(out, {"erp_software": F.when(named & (c("erp_software") == ""), found).otherwise(c("erp_software"))})
+    return out.drop("_name_key", *by_name)
 
 
 def gst_registry(df: DataFrame) -> DataFrame:

@@ -253,6 +253,50 @@ def _(spark, sf):
         "ord", "contact_name", "turnover", "industry_type", "additional_info", "erp_software")
 
 
+@query("enrich_lookup_all", (
+    "WITH o AS (SELECT o_custkey, min(o_orderpriority) AS p, count(*) AS n FROM orders GROUP BY 1),"
+    " a AS (SELECT c_custkey AS k, c_nationkey, c_mktsegment, n_name, coalesce(n, 0) AS n, p,"
+    " CASE WHEN c_custkey % 4 = 0 THEN 'Known Person' ELSE '' END AS person, CASE WHEN c_custkey % 2 = 0 THEN '₹1 Cr' ELSE '' END AS money,"
+    " CASE WHEN c_custkey % 5 = 0 THEN '11-50' ELSE '' END AS people"
+    " FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN o ON o_custkey = c_custkey),"
+    " b AS (SELECT *, CASE WHEN person = '' AND n > 10 THEN p ELSE person END AS person1,"
+    " CASE WHEN n > 0 AND (person = '' OR money = '') THEN 'from orders' END AS info1 FROM a),"
+    " c AS (SELECT *, k % 3 = 0 AND (person1 = '' OR money = '') AS second FROM b),"
+    " d AS (SELECT *, CASE WHEN second AND money = '' THEN '₹5 Cr' ELSE money END AS money2, second AND c_nationkey < 20 AS listed,"
+    " CASE WHEN k % 7 = 0 THEN c_mktsegment ELSE '' END AS kind FROM c),"
+    " e AS (SELECT *, k % 3 <> 1 AND (person1 = '' OR money2 = '' OR people = '' OR kind = '') AS known FROM d)"
+    " SELECT k AS ord, CASE WHEN person1 = '' THEN 'Director ' || n_name ELSE person1 END AS contact_name, money2 AS turnover,"
+    " CASE WHEN people = '' AND known THEN '51-200' ELSE people END AS employee_count,"
+    " CASE WHEN kind = '' AND known THEN 'Encyclopedia' ELSE kind END AS industry_type,"
+    " CASE WHEN listed THEN 'L, B, L, ' || n_name || ', C, ' || n_name ELSE '' END AS address,"
+    " CASE WHEN listed THEN 'C' ELSE '' END AS city, CASE WHEN listed THEN n_name ELSE '' END AS state,"
+    " concat_ws(' | ', info1, CASE WHEN second THEN 'GSTIN ' || lpad((c_nationkey % 36)::VARCHAR, 2, '0') || 'ABCDE1234F1Z5' END,"
+    " CASE WHEN listed THEN 'Business Type: Regular' END) AS additional_info,"
+    " CASE WHEN n > 12 THEN 'SAP' ELSE '' END AS erp_software FROM e"
+))
+def _(spark, sf):
+    customers, three = _lookup_frames(spark, sf)
+    k, number = F.col("c_custkey"), F.concat(F.lpad((F.col("nk") % 36).cast("string"), 2, "0"), F.lit("ABCDE1234F1Z5"))
+    customers = customers.withColumn("employee_count", F.when(F.col("ord") % 5 == 0, "11-50").otherwise("")).withColumns(
+        {f: F.lit("") for f in ("address", "city", "state")})
+    nations = v.table(spark, sf, "nation").withColumn("nk", F.col("n_nationkey"))
+    named = v.table(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).withColumn(
+        "name_key", enrich.lookup_key(F.col("c_name")))
+    registry = enrich.gst_registry(nations.filter("nk < 20").select(
+        number.alias("gstin"), F.lit("").alias("legal_name"), F.lit("").alias("trade_name"), F.lit("B").alias("building"),
+        F.lit("L").alias("locality"), F.lit("C").alias("city"), F.lit("").alias("district"), F.col("n_name").alias("state"),
+        F.lit("Private").alias("constitution"), F.lit("Regular").alias("business_type")))
+    tables = dict(
+        three.tables, gst=registry, panel=named.filter(k % 7 == 0).select("name_key", F.col("c_mktsegment").alias("industry_type")),
+        directory2=named.filter(k % 3 == 0).select(
+            "name_key", F.lit("₹5 Cr").alias("turnover"), F.concat(F.lit("GSTIN "), number).alias("additional_info")),
+        encyclopedia=named.filter(k % 3 != 1).select(
+            "name_key", F.lit("Encyclopedia").alias("industry_type"), F.lit("51-200").alias("employee_count")),
+        directors=named.select("name_key", F.concat(F.lit("Director "), "n_name").alias("contact_name")))
+    return enrich.enrich_lookup(customers, enrich.Lookups(**tables)).select(
+        "ord", "contact_name", "turnover", "employee_count", "industry_type", "address", "city", "state", "additional_info", "erp_software")
+
+
 _REG_NO = "lpad((c_nationkey % 36)::VARCHAR, 2, '0') || 'ABCDE1234F1Z5'"
 
 
