@@ -45,6 +45,9 @@ def test_tokens_equal_the_tokenizer():
     texts = ["", "<|endoftext|>x", "don't it's WE'LL", "x" * 3000, *("".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(1500))]
     for text in texts:
         assert np.frombuffer(made.ids(text), "<u4").tolist() == made.whole.encode(text, add_special_tokens=False).ids, text
+    letters = ["".join(rng.choices("abcdefghIJKLMNOPqrstuvwxyzßé", k=rng.randint(1, 90))) for _ in range(1500)]
+    for text in (" ".join(letters[i : i + 20]) for i in range(0, len(letters), 20)):
+        assert np.frombuffer(made.ids(text), "<u4").tolist() == made.whole.encode(text, add_special_tokens=False).ids, text
 
 
 def test_quality_learns_and_scores(spark, docs):
@@ -424,6 +427,47 @@ def test_grammar_leaves_no_frequent_pair():
         assert max(Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist())).values()) < 24
 
 
+def brute_grammar(text, least=24):
+    """Rules and symbols with all pairs counted in every round."""
+    rules, base = [], max(text, default=0) + 1
+
+    def places(chosen):
+        at, last, taken = {}, -2, False
+        for i in range(len(text) - 1):
+            if (text[i], text[i + 1]) in chosen:
+                taken = not taken if last == i - 1 else True
+                last = i
+                if taken:
+                    at[i] = (text[i], text[i + 1])
+        return at
+
+    while True:
+        counts = Counter(zip(text[:-1], text[1:]))
+        most = max(counts.values(), default=0)
+        if most < least:
+            return text, rules, base
+        at = places({p for p, n in counts.items() if n >= max(least, most // 2)})
+        kept = sorted(p for p, n in Counter(at.values()).items() if n >= least // 2)
+        if not kept:
+            kept = [min(p for p, n in counts.items() if n == most)]
+            at = places(set(kept))
+        symbol = {p: base + len(rules) + k for k, p in enumerate(kept)}
+        out, i = [], 0
+        while i < len(text):
+            made = symbol.get(at.get(i))
+            out.append(text[i] if made is None else made)
+            i += 1 if made is None else 2
+        text, rules = out, rules + kept
+
+
+@pytest.mark.parametrize("top, run", [(1, 1), (3, 1), (12, 1), (40, 1), (5, 9), (2, 40)])
+def test_grammar_equals_a_plain_count_of_every_round(top, run):
+    rng = np.random.default_rng(top + run)
+    ids = np.repeat(rng.integers(0, top, 3000), rng.integers(1, run + 1, 3000)).astype(np.uint32)
+    symbols, left, right, base = idfiles.compress(ids)
+    assert (symbols.tolist(), list(zip(left.tolist(), right.tolist())), base) == brute_grammar(ids.tolist())
+
+
 def brute_lines(rows, least_documents, keep_first=False):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
     held = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")} if k)
