@@ -17,11 +17,13 @@ from collections import defaultdict
 from collections.abc import Callable
 from functools import reduce
 from html.parser import HTMLParser
+from itertools import accumulate, chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from leadloom.functions.text import bind
+from leadloom.session import narrow_batches
 
 _NODE = T.StructType(
     [T.StructField(n, T.IntegerType()) for n in ("i", "last")]
@@ -43,18 +45,25 @@ _SCOPES = set("ul ol table dl select".split())
 
 
 class _Elements(HTMLParser):
+    """The elements of one page, a list for each field of an element, and the visible text pieces."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
+        self.last: list[int] = []
+        self.tag: list[str] = []
+        self.step: list[str] = []
+        self.href: list[str | None] = []
+        self.t0: list[int] = []
+        self.t1: list[int] = []
         self.texts: list[str] = []
-        self.open: list[dict] = []
+        self.open: list[int] = []
         self.depths: defaultdict[str, list[int]] = defaultdict(list)  # where elements of a tag are open, so that none is searched
 
     def _close_to(self, depth: int) -> None:
         while len(self.open) > depth:
-            node = self.open.pop()
-            self.depths[node["tag"]].pop()
-            node["last"], node["t1"] = len(self.nodes) - 1, len(self.texts)
+            at = self.open.pop()
+            self.depths[self.tag[at]].pop()
+            self.last[at], self.t1[at] = len(self.tag) - 1, len(self.texts)
 
     def _deepest(self, tags) -> int:
         return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=-1)
@@ -67,13 +76,16 @@ class _Elements(HTMLParser):
     def handle_starttag(self, tag, attrs):
         self._close_implied(tag)
         attr = {k: v or "" for k, v in reversed(attrs)}
-        step = ".".join([tag, *attr.get("class", "").split(), *(["@" + attr["itemprop"]] if attr.get("itemprop") else []), ""])
-        here, texts = len(self.nodes), len(self.texts)
-        node = dict(i=here, last=here, tag=tag, step=step, href=attr.get("href"), t0=texts, t1=texts)
-        self.nodes.append(node)
+        here, texts = len(self.tag), len(self.texts)
+        self.last.append(here)
+        self.tag.append(tag)
+        self.step.append(".".join([tag, *attr.get("class", "").split(), *(["@" + attr["itemprop"]] if attr.get("itemprop") else []), ""]))
+        self.href.append(attr.get("href"))
+        self.t0.append(texts)
+        self.t1.append(texts)
         if tag not in _VOID:
             self.depths[tag].append(len(self.open))
-            self.open.append(node)
+            self.open.append(here)
 
     def handle_endtag(self, tag):
         if self.depths.get(tag):
@@ -81,25 +93,49 @@ class _Elements(HTMLParser):
 
     def handle_data(self, data):
         piece = data.strip()
-        if piece and not (self.open and self.open[-1]["tag"] in _HIDDEN):
+        if piece and not (self.open and self.tag[self.open[-1]] in _HIDDEN):
             self.texts.append(piece)
 
 
-def _elements(html: str | None) -> dict:
+def _elements(html: str | None) -> _Elements:
     parser = _Elements()
     parser.feed(html or "")
     parser.close()
     parser._close_to(0)
-    return {"nodes": parser.nodes, "texts": parser.texts}
+    return parser
+
+
+#: Pages whose elements are held as Python values at a time; then they are put into Arrow arrays.
+_PAGES_AT_ONCE = 64
+
+
+def _lists(parts: list[list], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(list(accumulate(map(len, parts), initial=0)), pa.int32()), values)
 
 
-@F.pandas_udf(ELEMENTS_TYPE)
-def _parse(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_elements(h) for h in html], columns=["nodes", "texts"])
+def _arrays(htmls: list[str | None]) -> pa.StructArray:
+    pages = [_elements(h) for h in htmls]
+    fields = {"i": [range(len(p.tag)) for p in pages]} | {name: [getattr(p, name) for p in pages] for name in ("last", "tag", "step", "href", "t0", "t1")}
+    kinds = {f.name: pa.int32() if f.dataType == T.IntegerType() else pa.string() for f in _NODE}
+    flat = {name: pa.array(list(chain.from_iterable(fields[name])), kinds[name]) for name in kinds}
+    nodes = pa.StructArray.from_arrays(list(flat.values()), list(flat))
+    texts = [p.texts for p in pages]
+    return pa.StructArray.from_arrays(
+        [_lists([p.tag for p in pages], nodes), _lists(texts, pa.array(list(chain.from_iterable(texts)), pa.string()))], ["nodes", "texts"])
+
+
+@F.arrow_udf(ELEMENTS_TYPE)
+def _parse(html: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_arrays(html[at : at + _PAGES_AT_ONCE].to_pylist()) for at in range(0, max(1, len(html)), _PAGES_AT_ONCE)])
 
 
 def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Replace the html column by ``nodes`` and ``texts``."""
+    """Replace the html column by ``nodes`` and ``texts``.
+
+    Elements are many times larger than their page; they leave a worker in
+    small batches, so that what it holds does not grow with the table.
+    """
+    narrow_batches(pages.sparkSession)
     parsed = pages.withColumn("_page", _parse(F.col(html)))
     return parsed.select(*[c for c in pages.columns if c != html], "_page.nodes", "_page.texts")
 

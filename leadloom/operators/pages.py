@@ -218,7 +218,8 @@ def address_blocks() -> Column:
 
 
 def page_addresses(pages: DataFrame, id: str = "page_id") -> DataFrame:
-    found = markup.with_elements(pages.select(id, "html")).select(id, F.posexplode(address_blocks()).alias("pos", "address"))
+    found = markup.with_elements(pages.select(id, "html")).select(
+        id, t.pinned(address_blocks()).alias("found")).select(id, F.posexplode("found").alias("pos", "address"))
     return found.select(id, (F.col("pos") + 1).alias("rank"), "address")
 
 
@@ -232,7 +233,8 @@ def decision_makers(pages: DataFrame, id: str = "page_id") -> DataFrame:
         return F.coalesce(F.concat(t.some(person), F.lit(" ("), b["text"], F.lit(")")), b["text"])
 
     found = markup.with_elements(pages.select(id, "html")).select(
-        id, F.posexplode(_distinct_first(F.transform(hits, lambda b: shown(b)))).alias("pos", "person"))
+        id, t.pinned(_distinct_first(F.transform(hits, lambda b: shown(b)))).alias("found")).select(
+        id, F.posexplode("found").alias("pos", "person"))
     return found.select(id, (F.col("pos") + 1).alias("rank"), "person")
 
 
@@ -323,14 +325,16 @@ def label_spans(companies: DataFrame, id: str) -> DataFrame:
     value["person"] = F.trim(F.replace(F.substring_index(value["person"], "\n", 1), F.lit("CEO - "), F.lit("")))
     value["email"] = F.substring_index(t.squeeze(value["email"]), " ", 1)
     ready = companies.select(id, *[F.coalesce(value[x], F.lit("")).alias(x) for x in labels])
-    filled = ready.select(id, *labels, F.posexplode(F.array(*map(F.lit, fixed.LABEL_TEMPLATES))).alias("template", "text"))
+    filled = ready.select(id, *labels, F.posexplode(F.array(*map(F.lit, fixed.LABEL_TEMPLATES))).alias("template", "_template"))
+    text = F.col("_template")
     for x in labels:
-        filled = filled.withColumn("text", F.replace(F.col("text"), F.lit("{" + x.upper() + "}"), F.col(x)))
-    filled = filled.withColumn("text", t.squeeze(F.col("text")))
+        text = F.replace(text, F.lit("{" + x.upper() + "}"), F.col(x))
+    # what is counted and unnested below is made once: pinned texts and spans are not copied into filters
+    filled = filled.select(id, *labels, "template", t.pinned(t.squeeze(text)).alias("text"))
     spans = F.filter(F.array(*[
         F.struct((F.instr("text", F.col(x)) - 1).alias("start"),
                  (F.instr("text", F.col(x)) - 1 + F.length(x)).alias("end"),
                  F.when(F.col(x) != "", F.lit(x.upper())).alias("label"))
         for x in labels
     ]), lambda s: s["label"].isNotNull() & (s["start"] >= 0))
-    return filled.select(id, "template", "text", spans.alias("spans")).filter(F.size("spans") > 0)
+    return filled.select(id, "template", "text", t.pinned(spans).alias("spans")).filter(F.size("spans") > 0)

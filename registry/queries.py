@@ -594,7 +594,7 @@ def _label_sql() -> str:
 @query("label_spans", _label_sql())
 def _(spark, sf):
     k = F.col("c_custkey")
-    companies = v.table(spark, sf, "customer").select(
+    companies = v.spread(v.table(spark, sf, "customer"), rows=True).select(
         k.alias("id"), F.col("c_name").alias("company"), F.lit("CEO - Asha Rao\nCFO - X").alias("person"),
         F.when(k % 2 == 0, "Not publicly disclosed").otherwise(F.concat(F.lit("98"), F.lpad(k.cast("string"), 8, "0"))).alias("phone"),
         F.concat(F.lit("info@c"), k.cast("string"), F.lit(".in other@x.in")).alias("email"), F.lit("").alias("address"),
