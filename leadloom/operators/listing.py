@@ -384,8 +384,9 @@ def listing_seeds(pages: DataFrame, by: list[str] | None = None) -> DataFrame:
         good = (F.length(markup.text_of(texts, link, "")) >= 3) & href.startswith("http") & F.contains(
             F.lower(href), F.lit("indiamart.com"))
         around = markup.ancestor(nodes, link, lambda p: p["step"].rlike(class_test))
+        inner = t.bind(around, lambda card: markup.select(markup.inside(nodes, card), "a[href]"))
         outside = F.filter(
-            F.transform(markup.select(markup.inside(nodes, around), "a[href]"), lambda a: a["href"]),
+            F.transform(inner, lambda a: a["href"]),
             lambda h: h.startswith("http") & ~F.contains(F.lower(h), F.lit("indiamart")))
         site = F.get(F.coalesce(outside, F.array().cast("array<string>")), 0)
         return F.when(good, F.filter(F.array(
@@ -399,7 +400,7 @@ def listing_seeds(pages: DataFrame, by: list[str] | None = None) -> DataFrame:
     shown_places = F.transform(markup.select(nodes, LISTING_ADDRESS), lambda n: markup.text_of(texts, n, ""))
     keep = [c for c in pages.columns if c != "html"]
     staged = markup.with_elements(usable(pages)).select(
-        *keep, seeds.alias("seeds"),
+        *keep, t.pinned(seeds).alias("seeds"),
         F.get(F.filter(shown_phones, lambda p: p.rlike("[0-9]{10}")), 0).alias("phone"),
         F.get(F.filter(shown_places, lambda a: F.length(a) > 10), 0).alias("place"),
     )
@@ -428,7 +429,7 @@ def any_link_seeds(pages: DataFrame, limit: int = 20) -> DataFrame:
     urls = F.transform(links, lambda n: F.when(
         n["href"].startswith("/"), F.concat(F.lit("https://www.indiamart.com"), n["href"])).otherwise(n["href"]))
     found = markup.with_elements(pages.select("page_id", "html")).select(
-        "page_id", F.posexplode(F.slice(urls, 1, limit)).alias("pos", "url"))
+        "page_id", t.pinned(F.slice(urls, 1, limit)).alias("urls")).select("page_id", F.posexplode("urls").alias("pos", "url"))
     return found.select("page_id", _place().alias("ord"), "url", F.lit("indiamart_listing").alias("source_name"),
                         F.lit(0.80).alias("confidence"))
 
@@ -456,7 +457,8 @@ def card_seeds(pages: DataFrame) -> DataFrame:
     cards = markup.first_selection(nodes, SEED_CARDS)
     none = F.slice(F.array(_seed(F.lit(""), "", 0.0)), 1, 0)
     seeds = F.flatten(F.transform(cards, lambda c: F.coalesce(seeds_of(c), none)))
-    found = markup.with_elements(pages.select("page_id", "html")).select("page_id", F.posexplode(seeds).alias("pos", "s"))
+    found = markup.with_elements(pages.select("page_id", "html")).select(
+        "page_id", t.pinned(seeds).alias("seeds")).select("page_id", F.posexplode("seeds").alias("pos", "s"))
     return found.select("page_id", _place().alias("ord"), "s.url", "s.source_name", "s.confidence")
 
 

@@ -113,7 +113,7 @@ def _expected(fields: list[str], row: dict, first: str) -> str:
 
 
 def _customers(spark: SparkSession, sf: str) -> DataFrame:
-    return v.spread(v.table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    return v.spread(v.table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), rows=True)
 
 
 def _written(spark: SparkSession, sf: str, template: str) -> DataFrame:

@@ -77,7 +77,7 @@ def entity_records(spark: SparkSession, sf: str) -> DataFrame:
     suppliers = table(spark, sf, "supplier").select(
         (F.col("s_suppkey") * 2 + 1).alias("ord"), F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("nk"),
         F.lit("").alias("industry"), F.lit("suppliers").alias("source"))
-    both = spread(customers.unionByName(suppliers)).join(F.broadcast(nation), "nk")
+    both = spread(customers.unionByName(suppliers), rows=True).join(F.broadcast(nation), "nk")
     worded = both.withColumn("slot", F.pmod("k", F.lit(len(PHRASES))).cast("int")).join(
         F.broadcast(phrases(spark)), "slot")
     tail = F.when(F.col("industry") == "", "Supply House").otherwise(F.concat(F.initcap("industry"), F.lit(" Works")))
