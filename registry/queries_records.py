@@ -8,7 +8,7 @@ from leadloom.functions import contacts, facts, fixed, places, text as t
 from leadloom.operators import enrich, records as rec, resolve, serve
 from leadloom.plans import leads
 from leadloom.schema import RECORD_FIELDS
-from leadloom.session import checkpoint_dir
+from leadloom.session import checkpoint_dir, cut_lineage
 from leadloom.sources import buckets, sinks
 from leadloom.streaming import flows
 from registry import sqltext as q, views as v
@@ -372,12 +372,14 @@ def _(spark, sf):
 
 @query("dedupe_exact", f"SELECT n_records, {_COLS} FROM ({q.exact_merged('(' + q.cleaned(_ENTITY) + ')')})")
 def _(spark, sf):
-    return resolve.dedupe_exact(rec.clean_records(v.entity_records(spark, sf)))
+    # the records are read more than once by what follows
+    return resolve.dedupe_exact(cut_lineage(rec.clean_records(v.entity_records(spark, sf))))
 
 
 @query("dedupe_exact_pages", f"SELECT n_records, {_COLS} FROM ({q.exact_merged('(' + q.cleaned(_PAGE) + ')')})")
 def _(spark, sf):
-    return resolve.dedupe_exact(rec.clean_records(v.page_records(spark, sf)))
+    # the records are read more than once by what follows
+    return resolve.dedupe_exact(cut_lineage(rec.clean_records(v.page_records(spark, sf))))
 
 
 _CLUSTERED = f"(SELECT *, ord % 50 AS cluster FROM (SELECT * REPLACE (additional_info || ' ' || (ord % 3) AS additional_info) FROM {_ENTITY}))"
