@@ -111,6 +111,22 @@ def test_bulk_run(spark, tmp_path):
     assert spark.read.parquet(f"{out}/rejected").columns[-1] == "reasons"
 
 
+def test_records_of_a_run_are_dealt_to_all_cores(spark, tmp_path, monkeypatch):
+    params = spark.createDataFrame([(1, "pumps", "Pune", None)], "ord int, keyword string, location string, industry string")
+    pages = spark.createDataFrame(
+        [(1, "pumps Pune", "website", "https://www.pumpspune.com", "<p>Acme Pumps</p>")], "page_id long, query string, source string, url string, html string")
+    splits = []
+
+    def stop(raw, *rest):
+        splits.append(raw.rdd.getNumPartitions())
+        raise RuntimeError("far enough")
+
+    monkeypatch.setattr(runs, "rejected_records", stop)
+    with pytest.raises(RuntimeError, match="far enough"):
+        runs.bulk_run(params, pages, ["website"], str(tmp_path))
+    assert splits[0] >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_a_run_that_fails_says_so(spark, tmp_path):
     params = spark.createDataFrame([(1, "steel", "Pune", None)], "ord int, keyword string, location string, industry string")
     pages = spark.createDataFrame([], "page_id long, query string, source string, url string, html string")
