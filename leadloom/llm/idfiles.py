@@ -56,7 +56,7 @@ def compress(ids: np.ndarray, least: int = 24) -> tuple[np.ndarray, np.ndarray,
     left, right = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
     made, room = 0, SYMBOLS - base if base <= SYMBOLS else len(ids)
     values = np.zeros(1, np.uint64)
-    code = np.zeros(len(symbols), np.int32)
+    code = np.zeros(len(symbols), np.intp)
     near = np.arange(max(0, len(symbols) - 1))
     while made < room:
         pairs = (symbols[near].astype(np.uint64) << np.uint64(32)) | symbols[near + 1]
@@ -99,14 +99,14 @@ def _numbered(pairs: np.ndarray, least: int, first: int) -> tuple[np.ndarray, np
     """Numbers from ``first`` on for the pairs that come ``least`` times, 0 for the others; and the pairs numbered."""
     number, found = pd.factorize(pairs)
     often = np.bincount(number, minlength=len(found)) >= least
-    return np.where(often, np.cumsum(often) + (first - 1), 0).astype(np.int32)[number], found[often]
+    return np.where(often, np.cumsum(often) + (first - 1), 0)[number], found[often]
 
 
 def _places(code: np.ndarray, owner: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the pairs of ``owner`` are replaced, and by which: of neighbours in a run, which overlap, every other one."""
     wanted = np.full(n_codes, -1, np.int32)
     wanted[owner] = np.arange(len(owner), dtype=np.int32)
-    number = wanted[code]
+    number = wanted.take(code)
     at = np.flatnonzero(number >= 0)
     number = number[at]
     first = np.ones(len(at), bool)

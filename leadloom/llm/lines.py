@@ -49,10 +49,16 @@ def digest(key: bytes) -> bytes:
 
 
 class TwoFilters:
-    """Bits of the hashes seen, and of those seen again."""
+    """Bits of the hashes seen, and of those seen again.
+
+    Up to ``bits`` / 256 hashes are kept as they are, an eighth of the room at
+    most that the bits would take; with more the bits are made.
+    """
 
     def __init__(self, bits: int):
-        self.bits, self.once, self.twice = bits, np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        self.bits = bits
+        self.hashes, self.times = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.once = self.twice = None
 
     @staticmethod
     def places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -70,6 +76,14 @@ class TwoFilters:
     def add(self, hashes: np.ndarray) -> None:
         """Add hashes; one that comes several times here, or came before, is seen again."""
         hashes, times = np.unique(hashes, return_counts=True)
+        if self.once is None:
+            self.hashes, at = np.unique(np.concatenate([self.hashes, hashes]), return_inverse=True)
+            self.times = np.bincount(at, np.concatenate([self.times, times]), len(self.hashes)).astype(np.int64)
+            if len(self.hashes) <= self.bits // 256:
+                return
+            hashes, times = self.hashes, self.times
+            self.hashes = self.times = None
+            self.once, self.twice = np.zeros(self.bits // 8, np.uint8), np.zeros(self.bits // 8, np.uint8)
         places = self.places(hashes, self.bits)
         again = self.holds(self.once, places) | (times > 1)
         for at in places:
@@ -79,16 +93,24 @@ class TwoFilters:
 
     def pieces(self):
         """(number, once, twice) of the pieces that hold a bit."""
+        if self.once is None:
+            once, twice = (np.unique(np.concatenate(self.places(h, self.bits))) for h in (self.hashes, self.hashes[self.times > 1]))
+            for i in np.unique(once // PIECE).tolist():
+                yield i, *(packed((at[slice(*np.searchsorted(at, [i * PIECE, (i + 1) * PIECE]))]) - i * PIECE) for at in (once, twice))
+            return
         width = PIECE // 8
         once, twice = self.once.reshape(-1, width), self.twice.reshape(-1, width)
         for i in np.flatnonzero(once.any(axis=1)):
-            yield int(i), packed(once[i]), packed(twice[i])
+            yield int(i), *(packed(np.flatnonzero(np.unpackbits(x[i], bitorder="little"))) for x in (once, twice))
 
 
-def packed(piece: np.ndarray) -> bytes:
+def packed(at: np.ndarray) -> bytes:
     """A piece of a bit set: the places of its bits if they are few, else the bits."""
-    at = np.flatnonzero(np.unpackbits(piece, bitorder="little"))
-    return at.astype("<u2").tobytes() if 2 * len(at) < len(piece) else piece.tobytes()
+    if 2 * len(at) < PIECE // 8:
+        return at.astype("<u2").tobytes()
+    bits = np.zeros(PIECE, np.uint8)
+    bits[at] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -143,7 +165,7 @@ def seen_twice(documents: DataFrame, least: int = 1, bits: int = BITS) -> bytes:
                     have[piece] = [o, t]
         for piece, (_, twice) in have.items():
             if twice.any():
-                yield batch_of([(piece, b"", packed(twice))])
+                yield batch_of([(piece, b"", packed(np.flatnonzero(np.unpackbits(twice, bitorder="little"))))])
 
     parts = documents.select("text").mapInArrow(scan, ddl)
     merged = parts.repartition("piece").mapInArrow(merge, ddl).select("piece", "twice")

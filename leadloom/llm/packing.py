@@ -241,6 +241,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
                     rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        made.forget()  # the worker goes on with other steps, which need the memory
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -1,5 +1,6 @@
 """What keeps the cost of a row from growing: texts made once, rows dealt out, small batches to Python."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -69,3 +70,37 @@ def test_page_records_are_read_written(spark, tmp_path):
     merged = entry.queries()["dedupe_exact_pages"](spark, str(tmp_path))
     assert "html" not in _plan(merged)  # the merge reads its rows twice, not the pages
     assert [r["n_records"] for r in merged.collect()] == [3]
+
+
+def test_few_line_hashes_take_little_memory():
+    from leadloom.llm import lines
+
+    rng = np.random.default_rng(1)
+    first, second = rng.integers(0, 1 << 63, 3000).astype(np.uint64), rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    few, many = lines.TwoFilters(1 << 22), lines.TwoFilters(1 << 22)
+    many.add(rng.integers(0, 1 << 63, 1 + (1 << 14)).astype(np.uint64))
+    for filters in (few, many):
+        filters.add(first)
+        filters.add(np.concatenate([second, second[:5], first[:7]]))
+    assert few.once is None and few.hashes.nbytes + few.times.nbytes < 100_000 and many.once is not None and many.hashes is None
+    for filters in (few, many):
+        twice = np.zeros((1 << 22) // 8, np.uint8)
+        for i, once, again in filters.pieces():
+            at = slice(i * lines.PIECE // 8, (i + 1) * lines.PIECE // 8)
+            twice[at] = lines.unpacked(again)
+            assert not (twice[at] & ~lines.unpacked(once)).any()
+        held = filters.holds(twice, filters.places(np.concatenate([first, second]), 1 << 22))
+        assert held[:7].all() and held[3000:3005].all() and held.sum() < 300
+
+
+def test_words_kept_have_a_bound_and_can_be_given_back(monkeypatch):
+    from leadloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHED", 20)
+    made = tokens.Encoder(tokens.word_tokenizer())
+    for text in [" ".join(f"Wo{chr(97 + i % 26)}rd{i}, na\u00efve's" for i in range(100)), "it's (caf\u00e9) ''s \u00c0\u00dfx"]:
+        wanted = np.array(made.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert made.ids(text) == wanted == made.ids(text)
+        assert len(made.words) <= 10 and len(made.words.before) <= 10
+    made.forget()
+    assert not made.words and not made.words.before
