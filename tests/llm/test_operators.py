@@ -149,6 +149,29 @@ def test_lm_gradients_and_single_scoring():
     assert np.allclose(model.score(texts), [model.score([t])[0] for t in texts], rtol=1e-4)
 
 
+def test_lm_gradients_in_reused_arrays():
+    shape, rng = lm.Shape(), np.random.default_rng(6)
+    vocabulary = lm.Vocabulary(rng.integers(0, 50, 900), shape)
+    p = {k: x + np.float32(0.1) for k, x in lm.initial(shape, vocabulary.log_class).items()}
+    room = lm.Room()
+    kept = None
+    for lengths in ([300, 7], [64], [5, 90, 1], [300, 7]):  # a smaller batch, and one that ends in the middle of a window
+        ids = rng.integers(0, 900, sum(lengths))
+        seen, wanted, inside, _ = lm.windows(ids, np.array(lengths), vocabulary, shape)
+        data = (seen, vocabulary.classes[wanted], inside)
+        loss, grads = lm.gradients(p, *data, shape, room)
+        alone, fresh = lm.gradients(p, *data, shape)
+        assert loss == alone and all((grads[k] == fresh[k]).all() and grads[k].dtype == p[k].dtype for k in p)
+        g = lm.forward(p, seen, shape)["g"].astype(float)
+        log = g[np.arange(len(g)), data[1].ravel()] - np.log(np.exp(g).sum(axis=1))
+        assert loss == pytest.approx(-log[inside.ravel()].mean(), rel=1e-5)
+        assert not any(np.shares_memory(grads[k], x) for k in p for x in room.held.values())  # what is given stays as it is
+        kept = room.held["a"] if kept is None and lengths == [64] else kept
+    again = room.held["a"]
+    lm.gradients(p, *data, shape, room)
+    assert room.held["a"] is again and again is not kept
+
+
 def test_lm_score_equals_a_plain_loop():
     shape, rng = lm.Shape(), np.random.default_rng(8)
     vocabulary = lm.Vocabulary(rng.integers(0, 50, 900), shape)
