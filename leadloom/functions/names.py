@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from leadloom.functions import fixed
-from leadloom.functions.text import SPACE_CHARS, any_by_letter, bind, extract, squeeze, unicode, unicode_i
+from leadloom.functions.text import SPACE_CHARS, any_by_letter, any_of, bind, extract, squeeze, unicode, unicode_i
 
 _SUFFIX = rf"(?i)\b(?:{any_by_letter(fixed.LEGAL_SUFFIXES)})\b\.?"
 
