@@ -114,25 +114,35 @@ def _fold(parts: Column) -> Column:
     """Info texts put side by side, each left out when it equals all that is there already.
 
     Only the texts equal to the first one at the very start can be left out,
-    unless a text holds the separator itself.  Then a text is compared with
-    what is there only if it is exactly as long, so no text is put together
-    more often than a text of its length is read.
+    unless a later text begins with the first one and the separator.  Then the
+    texts are gone through with the place up to which they were put together
+    before: a text is compared with what is there only if it is exactly as
+    long, and what is there is never copied from text to text, so the work
+    grows with the characters of the texts.
     """
     def joined(p: Column) -> Column:
         first = F.get(p, 0)
         new = F.array_position(F.transform(p, lambda x: x != first), True)
         rest = F.when(new > 0, F.slice(p, new.cast("int"), F.size(p))).otherwise(F.slice(p, 1, 0))
-        start = F.struct(F.lit(0).cast("long").alias("chars"), F.slice(p, 1, 0).alias("kept"))
+
+        def state(at: Column, chars: Column, text: Column, since: Column) -> Column:
+            return F.struct(at.cast("int").alias("at"), chars.cast("long").alias("chars"), text.alias("text"), since.cast("int").alias("since"))
+
+        def put(have: Column) -> Column:
+            """``text`` and the texts from place ``since`` to before ``at``, all of which are kept."""
+            kept = F.slice(p, have["since"], have["at"] - have["since"])
+            between = F.when((have["text"] != "") & (have["at"] > have["since"]), " | ").otherwise("")
+            return F.concat(have["text"], between, F.array_join(kept, " | "))
 
         def step(have: Column, part: Column) -> Column:
-            chars, kept = have["chars"], have["kept"]
-            same = F.when(chars == F.length(part), F.array_join(kept, " | ") == part).otherwise(False)
+            at, chars = have["at"] + 1, have["chars"]
+            same = F.when(chars == F.length(part), put(have) == part).otherwise(False)
             longer = chars + F.length(part) + F.when(chars > 0, 3).otherwise(0)
-            return F.when(same, have).otherwise(
-                F.struct(longer.cast("long").alias("chars"), F.concat(kept, F.array(part)).alias("kept")))
+            return F.when(same, state(at, chars, part, at)).otherwise(state(at, longer, have["text"], have["since"]))
 
-        kept = F.when(F.exists(p, lambda x: F.contains(x, F.lit(" | "))), F.aggregate(p, start, step)["kept"])
-        return F.array_join(F.coalesce(kept, F.concat(F.array(first), rest)), " | ")
+        start = state(F.lit(1), F.lit(0), F.lit(""), F.lit(1))
+        again = F.exists(p, lambda x: F.startswith(x, F.concat(first, F.lit(" | "))))
+        return F.coalesce(F.when(again, F.aggregate(p, start, step, put)), F.array_join(F.concat(F.array(first), rest), " | "))
 
     return bind(parts, joined)
 
@@ -162,7 +172,7 @@ def merge_cluster(df: DataFrame, keys: list[str]) -> DataFrame:
     on = [c(k).eqNullSafe(c(f"_k_{k}")) for k in keys]
     texts = info_parts(df, keys).join(several, on, "left_semi")
     gathered = texts.groupBy(*[c(k).alias(f"_k_{k}") for k in keys]).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "additional_info"))).alias("_parts")
+        F.sort_array(F.collect_list(F.struct("ord", "additional_info"))).alias("_parts")
     )
     texts_of = gathered.select(*[f"_k_{k}" for k in keys], _fold(F.transform(
         "_parts", lambda p: p["additional_info"])).alias("_folded"))
