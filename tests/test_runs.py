@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadloom.functions import fixed
-from leadloom.operators import enrich, records as rec, serve
+from leadloom.operators import enrich, records as rec, resolve, serve
 from leadloom.plans import leads, runs
 from leadloom.schema import RECORD_FIELDS, as_records
 from leadloom.sources import buckets, readers, sinks
@@ -127,6 +127,36 @@ def test_records_of_a_run_are_dealt_to_all_cores(spark, tmp_path, monkeypatch):
     assert splits[0] >= 4 * spark.sparkContext.defaultParallelism
 
 
+def test_no_side_of_a_run_that_grows_is_sent_to_all(spark, monkeypatch):
+    params = spark.createDataFrame([(1, "pumps", "Pune", None), (2, "steel", "Pune", "steel")], "ord int, keyword string, location string, industry string")
+    pages = spark.createDataFrame(
+        [(1, "pumps Pune", "website", "https://www.pumpspune.com", "<p>Acme Pumps</p>")], "page_id long, query string, source string, url string, html string")
+    plans, write = [], runs.cut_lineage
+
+    def seen(df, *by):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *by)
+
+    for module in (runs, resolve):
+        monkeypatch.setattr(module, "cut_lineage", seen)
+    queries = runs.build_queries(params)
+    seeds = runs.directory_seeds(runs.directory_jobs(params), pages)
+    general = runs.general_records(queries, pages, ["discovery", "website"])
+    clusters = resolve.cluster_ids(spark.createDataFrame([(1, 2)], "id long, other long").select(
+        "id", *[F.lit("x").alias(f) for f in ("website", "email", "phone", "company_name")]), "id")
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (seeds, general)]
+    plans.append(clusters._jdf.queryExecution().optimizedPlan().toString())
+    assert "SortMergeJoin" in "".join(plans) and "rightHint=(strategy=merge)" in plans[-1]
+    grown = ("query#", "url#", "page_id#", "job#", "u#")
+    for plan in plans[:-1]:
+        for line in plan.splitlines():
+            assert "BroadcastHashJoin" not in line or not any(f"[{key}" in line for key in grown), line
+    done = []
+    monkeypatch.setattr(type(params), "count", lambda df: done.append(df._jdf.queryExecution().executedPlan().toString()) or 1)
+    runs.items_done(runs.work_items(queries, ["discovery", "website"]), pages)
+    assert "SortMergeJoin" in done[1] and "BroadcastHashJoin" not in done[1]
+
+
 def test_a_run_that_fails_says_so(spark, tmp_path):
     params = spark.createDataFrame([(1, "steel", "Pune", None)], "ord int, keyword string, location string, industry string")
     pages = spark.createDataFrame([], "page_id long, query string, source string, url string, html string")
