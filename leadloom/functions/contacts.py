@@ -10,6 +10,7 @@ from leadloom.functions.text import any_of, bind, contains_any, extract_all
 # as the pattern, begun only where a word begins or the match before it ended, and never given back letter by letter
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))" + fixed.EMAIL_PATTERN.replace("+@", "++@", 1)
 _PHONE_RUN = r"[0-9\s\-.()+]{10,}"  # all that the phone patterns can read; a valid number has ten digits
+_TEN_DIGITS = "(?:[0-9][^0-9]*+){10}"
 _FULL_EMAIL = "^" + fixed.EMAIL_PATTERN.replace("A-Z", "") + "$"
 
 
@@ -94,13 +95,15 @@ def phones(text: Column, limit: int = 5, region: str = "") -> Column:
 
     The patterns read digits and a few marks only, so they are tried on the
     runs of these that are long enough for a number, put side by side with a
-    letter between them that no pattern reads.
+    letter between them that no pattern reads.  A text with fewer than ten
+    digits in all has no valid number and is not read again.
     """
     def matches(runs: Column, rule: int, pattern: str) -> Column:
         return F.transform(extract_all(runs, pattern), lambda m: F.struct(
             F.lit(rule).alias("rule"), F.trim(m).alias("raw")))
 
-    found = bind(F.array_join(extract_all(text, _PHONE_RUN), "x"),
+    runs = bind(text, lambda x: F.when(~x.rlike(_TEN_DIGITS), F.array().cast("array<string>")).otherwise(extract_all(x, _PHONE_RUN)))
+    found = bind(F.array_join(runs, "x"),
                  lambda runs: F.concat(*[matches(runs, n, p) for n, p in enumerate(fixed.PHONE_PATTERNS)]))
     valid = F.filter(found, lambda m: is_valid_phone(m["raw"], region))
     placed = F.transform(

@@ -12,6 +12,7 @@ from leadloom.functions import fixed
 # white space the way Unicode text needs it, spelled out so that the classes mean the same in every engine
 SPACE_CHARS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE = f"[{SPACE_CHARS}]"
+SPACES = "".join(chr(n) for n in [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])  # the same
 WORD = r"[\p{L}\p{N}_]"
 TAG = r"</?[A-Za-z][^>]*>|<![^>]*>|<\?[^>]*>"
 HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>"
@@ -20,6 +21,7 @@ HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</sty
 _TAG = r"<(?:/?[A-Za-z]|[!?])[^>]*>"
 _HIDDEN = r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>|template\b[^>]*>.*?</template\s*>)"
 _NOT_PRINTED = "(?![!-~])"  # put before a pattern that can only begin with white space or a mark: most characters end here
+_NO_LONE_BLANK = _NOT_PRINTED + "(?! [!-~])"  # the same for one that a blank alone cannot begin either: the blanks between words end here too
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -124,7 +126,7 @@ def unicode_i(pattern: str) -> str:
 
 def squeeze(c: Column) -> Column:
     """Runs of white space to one blank; a blank alone is not touched."""
-    return F.trim(F.regexp_replace(c, rf"{_NOT_PRINTED}(?: {SPACE}++|[{SPACE_CHARS}&&[^ ]]{SPACE}*+)", " "))
+    return F.trim(F.regexp_replace(c, rf"{_NO_LONE_BLANK}(?: {SPACE}++|[{SPACE_CHARS}&&[^ ]]{SPACE}*+)", " "))
 
 
 def py_title(c: Column) -> Column:
@@ -183,9 +185,12 @@ def clean_text(c: Column) -> Column:
 
     Plain text without a tag, an ampersand or two blanks in a row has only its ends trimmed.
     """
+    control = r"[\x00-\x1f\x7f&&[^\t\n\r]]"
+
     def cleaned(text: Column) -> Column:
-        decoded = unescape(unescape(F.regexp_replace(text, "<[^>]+>", " ")))
-        return squeeze(F.regexp_replace(decoded, r"[\x00-\x1f\x7f&&[^\t\n\r]]", ""))
+        untagged = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, "<[^>]+>", " ")).otherwise(text)
+        plain = bind(unescape(unescape(untagged)), lambda x: F.when(x.rlike(control), F.regexp_replace(x, control, "")).otherwise(x))
+        return squeeze(plain)
 
     return bind(c, lambda text: F.when(F.contains(text, F.lit("  ")) | text.rlike(r"[^ !-%'-;=-~]"), cleaned(text)).otherwise(F.trim(text)))
 
@@ -262,8 +267,8 @@ def page_text(html: Column) -> Column:
     """Visible text pieces joined by one space; white space inside a piece is kept."""
     shown = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, "\x01")
     marked = unescape(F.regexp_replace(shown, _TAG, "\x01"))
-    joined = F.regexp_replace(marked, rf"{_NOT_PRINTED}{SPACE}*+\x01[{SPACE_CHARS}\x01]*+", " ")
-    return F.regexp_replace(joined, rf"{_NOT_PRINTED}(?:^{SPACE}+|{SPACE}++$)", "")
+    joined = F.regexp_replace(marked, rf"{_NO_LONE_BLANK}{SPACE}*+\x01[{SPACE_CHARS}\x01]*+", " ")
+    return F.btrim(joined, F.lit(SPACES))
 
 
 def page_title(html: Column) -> Column:
